@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, shards, tokens, urls
+from . import bpe, decontaminate, language, neardup, quality, shards, tokens, urls
 
 QUERIES = {
+    "op2_quality_rules": quality.op2_quality_rules,
     "op3_stratified_shards": shards.op3_stratified_shards,
     "op4_url_filters": urls.op4_url_filters,
+    "op5_superminhash": neardup.op5_superminhash,
     "op6_token_counts": tokens.op6_token_counts,
+    "op7_benchmark_leaks": decontaminate.op7_benchmark_leaks,
+    "op8_language_id": language.op8_language_id,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 
