@@ -85,6 +85,17 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) ->
             yield b.slice(at, rows)
 
 
+def bounded(batches: Iterator[pa.RecordBatch], size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of batches that hold about ``size`` bytes of text each, one row at least."""
+    for b in batches:
+        n = np.array([len(x) if x else 0 for x in binaries(b.column(b.schema.get_field_index("text")))])
+        part, at = np.cumsum(n) // size, 0
+        for end in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]:
+            if end > at:
+                yield b.slice(at, end - at)
+            at = end
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder name under ``spark.checkpoint.dir``; a temporary one is set only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
