@@ -11,8 +11,8 @@ At that similarity a SimHash bit differs with probability 0.172 at most, so 64 b
 on average; a radius of 27 leaves out less than one pair in a million.
 
 Windows that cannot reach the similarity get no fingerprint: the shared weight of a window with
-an item of L shingles must be at least 0.75 L, so fewer positions than that holding any benchmark
-shingle rule it out. That bound is exact.
+an item of L shingles must be at least 0.75 L, so fewer positions than that holding shingles of
+items of that length rule it out. That bound is exact.
 
 The items (stated queries) are sent to all tasks in blocks of at most ``BLOCK_BYTES`` of text;
 a larger benchmark makes more passes inside the same tasks. Documents are never shuffled.
@@ -61,7 +61,7 @@ class Index:
     def __init__(self, items: list[tuple[int, bytes]]):
         hashes = WordHashes()
         self.items, self.by_length = [], defaultdict(lambda: defaultdict(list))
-        seen = []
+        seen, lengths = [], []
         for item, text in items:
             h = hashes.of(words(text))
             if not len(h):
@@ -70,14 +70,22 @@ class Index:
             k = len(self.items)
             self.items.append((item, Counter(s.tolist()), len(s)))
             seen.append(s)
+            lengths.append(len(h))
             f = int(fingerprint(signs(s).sum(axis=0)[None, :])[0])
             for block in range(BLOCKS):
                 self.by_length[len(h)][(block, f >> (8 * block) & 255)].append((k, f))
-        self.shingles = np.unique(np.concatenate(seen)) if seen else np.empty(0, np.uint64)
         self.lengths = sorted(self.by_length)
-        self.whole = {n for n in self.lengths if n < WIDTH}
+        self.shingles = np.unique(np.concatenate(seen)) if seen else np.empty(0, np.uint64)
+        #: Which window lengths have an item with the shingle.
+        self.of_length = np.zeros((len(self.shingles), len(self.lengths)), bool)
+        for length, s in zip(lengths, seen, strict=True):
+            self.of_length[np.searchsorted(self.shingles, s), self.lengths.index(length)] = True
+        self.found: dict[tuple[int, int], set[int]] = {}
 
     def near(self, length: int, f: int) -> set[int]:
+        """Items of that length within the radius of a fingerprint."""
+        if (got := self.found.get((length, f))) is not None:
+            return got
         table, out = self.by_length[length], set()
         for block in range(BLOCKS):
             v = f >> (8 * block) & 255
@@ -85,14 +93,18 @@ class Index:
                 for k, g in table.get((block, v ^ c), ()):
                     if (f ^ g).bit_count() <= RADIUS:
                         out.add(k)
+        if len(self.found) > 100_000:
+            self.found.clear()
+        self.found[length, f] = out
         return out
 
-    def holds(self, s: np.ndarray) -> np.ndarray:
+    def ids(self, s: np.ndarray) -> np.ndarray:
+        """Index of each shingle among the benchmark's, -1 where it isn't there."""
         if not len(self.shingles):
-            return np.zeros(len(s), bool)
+            return np.full(len(s), -1)
         i = np.searchsorted(self.shingles, s)
         i[i == len(self.shingles)] = 0
-        return self.shingles[i] == s
+        return np.where(self.shingles[i] == s, i, -1)
 
     def find(self, h: np.ndarray) -> dict[int, float]:
         """item -> best similarity over all windows of a document's word hashes."""
@@ -100,40 +112,47 @@ class Index:
         n = len(h)
         if not n:
             return best
-        whole = shingles(h, WIDTH)
-        found = self.holds(whole)
+        if n >= WIDTH:
+            s = shingles(h, WIDTH)
+            ids = self.ids(s)
+            at = np.flatnonzero(ids >= 0)
+            if len(at):
+                use = self.of_length[ids[at]]
+                for k in np.flatnonzero(use.sum(axis=0)):
+                    if (length := self.lengths[k]) >= WIDTH:
+                        self.windows(length, s, at[use[:, k]], max(1, min(length, n) - WIDTH + 1), best)
         for length in self.lengths:
-            if length < WIDTH and n > length:
+            if length >= WIDTH:
+                break
+            if n >= length:
                 s = shingles_of(h, length)
-                size, hit = 1, self.holds(s)
-            elif n < WIDTH and length >= WIDTH:
-                continue  # one whole-sequence shingle equals no 5-word shingle
-            else:
-                s, hit, size = whole, found, max(1, min(length, n) - WIDTH + 1)
-            if not hit.any():
-                continue
-            need = -(-PERCENT * max(1, length - WIDTH + 1) // 100)
-            total = np.concatenate(([0], np.cumsum(hit)))
-            starts = np.flatnonzero(total[size:] - total[:-size] >= need)
-            if not len(starts):
-                continue
-            for run in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1):
-                lo, hi = run[0], run[-1] + size
-                cum = np.concatenate((np.zeros((1, 64), np.int64), np.cumsum(signs(s[lo:hi]), axis=0)))
-                prints = fingerprint(cum[run - lo + size] - cum[run - lo])
-                done = {}
-                for at, f in zip(run.tolist(), prints.tolist(), strict=True):
-                    if f not in done:
-                        done[f] = self.near(length, f)
-                    if done[f]:
-                        mine = Counter(s[at : at + size].tolist())
-                        for k in done[f]:
-                            item, theirs, weight = self.items[k]
-                            both = sum(min(c, theirs[x]) for x, c in mine.items() if x in theirs)
-                            if 100 * both >= PERCENT * (size + weight - both):
-                                best[item] = max(best.get(item, 0.0), both / (size + weight - both))
+                self.windows(length, s, np.flatnonzero(self.ids(s) >= 0), 1, best)
         return best
 
+    def windows(self, length: int, s: np.ndarray, hits: np.ndarray, size: int, best: dict[int, float]) -> None:
+        """Confirms items of one length in all windows of ``size`` shingles; hits: positions of their shingles."""
+        need = -(-PERCENT * max(1, length - WIDTH + 1) // 100)
+        if len(hits) < need:
+            return
+        hit = np.zeros(len(s) + 1, np.int64)
+        hit[hits + 1] = 1
+        total = np.cumsum(hit)
+        starts = np.flatnonzero(total[size:] - total[:-size] >= need)
+        if not len(starts):
+            return
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1):
+            lo, hi = run[0], run[-1] + size
+            cum = np.concatenate((np.zeros((1, 64), np.int64), np.cumsum(signs(s[lo:hi]), axis=0)))
+            prints = fingerprint(cum[run - lo + size] - cum[run - lo])
+            for at, f in zip(run.tolist(), prints.tolist(), strict=True):
+                if near := self.near(length, f):
+                    mine = Counter(s[at : at + size].tolist())
+                    for k in near:
+                        item, theirs, weight = self.items[k]
+                        both = sum(min(c, theirs[x]) for x, c in mine.items() if x in theirs)
+                        if 100 * both >= PERCENT * (size + weight - both):
+                            best[item] = max(best.get(item, 0.0), both / (size + weight - both))
+
 
 def shingles_of(h: np.ndarray, length: int) -> np.ndarray:
     """Whole-sequence hashes of every window of fewer than five words."""
