@@ -34,13 +34,16 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, columns, small_batches
+from .common import batch_rows, binaries, columns, small_batches
 
 TABLE_WORDS = 1 << 16
 FOLD_BYTES = 32
 CACHE_WORDS = 300_000
 BUCKETS = 1 << 13
 NO_RANK = (1 << 31) - 1
+_BYTES = [bytes([b]) for b in range(256)]
+#: Words of at most so many bytes are merged without a heap.
+SHORT = 64
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -55,11 +58,32 @@ def pieces_of(ranks: dict[bytes, int]) -> list[bytes]:
     return pieces
 
 
+def _merge_short(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same without a heap: each pair's rank is kept, and only the two beside a merge are looked up again."""
+    get = ranks.get
+    part = [*map(_BYTES.__getitem__, word)]
+    rank = [get(a + b, NO_RANK) for a, b in zip(part, part[1:])]  # noqa: B905
+    while rank:
+        r = min(rank)
+        if r == NO_RANK:
+            break
+        i = rank.index(r)
+        part[i : i + 2] = (part[i] + part[i + 1],)
+        del rank[i]
+        if i < len(rank):
+            rank[i] = get(part[i] + part[i + 1], NO_RANK)
+        if i:
+            rank[i - 1] = get(part[i - 1] + part[i], NO_RANK)
+    return [ranks[p] for p in part]
+
+
 def merge_bytes(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """Ids of one word: leftmost least-ranked adjacent pair first, as in the fold."""
     if word in ranks:
         return [ranks[word]]
     n = len(word)
+    if n <= SHORT:
+        return _merge_short(word, ranks)
     nxt, prv, part, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [word[i : i + 1] for i in range(n)], [True] * n
     heap = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
     heapq.heapify(heap)
@@ -120,26 +144,28 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
 
 
 def frequent_words(docs: DataFrame, pattern: str, limit: int = TABLE_WORDS) -> DataFrame:
-    """word (binary) of the most frequent words of all texts, counted in full by tasks that drop what they saw once."""
+    """word (binary): the most frequent runs without white space in all texts, with the space before them, where the
+    pattern takes that as one word. Tasks drop what they saw once before they pass counts on."""
     batch_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find, seen = regex.compile(pattern).findall, Counter()
+        seen: Counter = Counter()
+        whole = regex.compile(pattern).fullmatch
 
         def out() -> pa.RecordBatch:
-            rows = [(w.encode(), n) for w, n in seen.items() if n > 1]
+            rows = [(w, n) for run, n in seen.items() if n > 1 and len(run) < FOLD_BYTES and whole((w := b" " + run).decode())]
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64())], names=["word", "n"])
 
         for b in small_batches(batches, 64):
-            for t in b.column("text").to_pylist():
+            for t in binaries(b.column("text")):
                 if t:
-                    seen.update(find(t))
+                    seen.update(t.split())
             if len(seen) > CACHE_WORDS:
                 yield out()
                 seen.clear()
         yield out()
 
-    counted = columns(docs, "text").mapInArrow(run, "word binary, n bigint").where(F.octet_length("word") <= FOLD_BYTES)
+    counted = columns(docs, "text").mapInArrow(run, "word binary, n bigint")
     return counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
 
 
