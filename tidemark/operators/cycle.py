@@ -187,6 +187,40 @@ def HtDcPhase():
     return scan(make, x)
 
 
+@op()
+def HtTrendMode():
+    def make():
+        hb, prices, means = Hilbert(), [], [0.0] * 3
+        phase = sine = lead = days = 0.0
+
+        def step(a):
+            nonlocal phase, sine, lead, days
+            got = hb.step(a)
+            if len(hb.price) == 7:
+                Hilbert.push(prices, hb.smooth, 50)
+            if not got:
+                return None
+            period = hb.smooth_period
+            now = dc_phase(prices, period)
+            s, k = math.sin(math.radians(now)), math.sin(math.radians(now + 45))
+            n = min(max(int(period + 0.5), 1), len(prices))
+            mean = sum(prices[:n]) / n
+            line = (4 * mean + 3 * means[0] + 2 * means[1] + means[2]) / 10
+            Hilbert.push(means, mean, 3)
+            crossed = (s > k and sine <= lead) or (s < k and sine >= lead)
+            days = 1.0 if crossed else days + 1
+            turn = now - phase
+            cycle = crossed or days < 0.5 * period or (period and 0.67 * 360 / period < turn < 1.5 * 360 / period)
+            if line and abs((hb.smooth - line) / line) >= 0.015:
+                cycle = False
+            phase, sine, lead = now, s, k
+            return (0.0 if cycle else 1.0) if hb.count >= 50 else None
+
+        return step
+
+    return scan(make, x)
+
+
 @op()
 def HtPhasor():
     def make():
