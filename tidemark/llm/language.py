@@ -2,8 +2,9 @@
 
 Every letter has a random +1/-1 vector. A three-letter window is bound into one vector: the
 product of its letters' vectors, the first rotated twice and the second once. A text's profile is
-the bundle (sum) of its windows' vectors; a language's prototype is the sum of the unit-length
-profiles of its training texts. The language of a text is that of the prototype with the
+the bundle (sum) of its windows' vectors; a language's prototype is the sum of the profiles of its
+training texts, each divided by the norm of its window counts (the length of a bundle of
+independent vectors but for a constant), so that long texts don't outweigh short ones. The language of a text is that of the prototype with the
 largest cosine, ties going to the first in alphabetical order.
 
 Bundling is linear, so a text's profile is computed from its distinct windows and their counts,
@@ -43,23 +44,24 @@ class Profiles:
         self.dim, self.limit = dim, limit
         self.letters = np.random.default_rng(SEED).choice(np.array([-1, 1], np.int8), (SYMBOLS, dim))
         self.letters[0] = 1  # the gap binds as the identity
-        self.symbol = self._symbols()
+        self.symbol, self.met = np.zeros(0x110000, np.uint16), np.zeros(0x110000 >> 8, bool)
         self.codes, self.vectors = np.empty(0, np.int64), np.empty((0, dim), np.float32)
 
-    @staticmethod
-    def _symbols() -> np.ndarray:
-        """code point -> symbol of its lower-case letter, 0 for what isn't a letter."""
-        table = np.zeros(0x110000, np.uint16)
-        for cp in range(0x110000):
-            c = chr(cp)
-            if c.isalpha():
-                low = ord(c.lower()[0])
-                table[cp] = low if low < 512 else 512 + (low * 2654435761 >> 7) % (SYMBOLS - 512)
-        return table
+    def _meet(self, pages: np.ndarray) -> None:
+        """Fills the table code point -> symbol of its lower-case letter, 0 for other characters, for pages of 256."""
+        for page in pages:
+            for cp in range(page << 8, (page + 1) << 8):
+                if (c := chr(cp)).isalpha():
+                    low = ord(c.lower()[0])
+                    self.symbol[cp] = low if low < 512 else 512 + (low * 2654435761 >> 7) % (SYMBOLS - 512)
+            self.met[page] = True
 
     def windows(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Distinct window codes of a text and their counts."""
         cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        pages = cps >> 8
+        if not self.met[pages].all():
+            self._meet(np.unique(pages[~self.met[pages]]))
         s = self.symbol[cps].astype(np.int64)
         if not s.any():
             return np.empty(0, np.int64), np.empty(0)
@@ -70,14 +72,20 @@ class Profiles:
 
     def rows(self, codes: np.ndarray) -> np.ndarray:
         """Indexes of the codes' vectors; new vectors are bound on the way."""
-        new = np.setdiff1d(codes, self.codes, assume_unique=True)
+        at = np.searchsorted(self.codes, codes)
+        at[at == len(self.codes)] = 0
+        new = codes[self.codes[at] != codes] if len(self.codes) else codes
         if len(new):
             if len(self.codes) + len(new) > self.limit:
                 self.codes, self.vectors, new = self.codes[:0], self.vectors[:0], codes
-            bound = np.roll(self.letters[new >> 20], 2, axis=1) * np.roll(self.letters[(new >> 10) & 1023], 1, axis=1) * self.letters[new & 1023]
-            at = np.argsort(all_codes := np.concatenate((self.codes, new)), kind="stable")
-            self.codes, self.vectors = all_codes[at], np.concatenate((self.vectors, bound.astype(np.float32)))[at]
-        return np.searchsorted(self.codes, codes)
+            order = np.argsort(all_codes := np.concatenate((self.codes, new)), kind="stable")
+            self.codes, self.vectors = all_codes[order], np.concatenate((self.vectors, self.bind(new)))[order]
+            at = np.searchsorted(self.codes, codes)
+        return at
+
+    def bind(self, codes: np.ndarray) -> np.ndarray:
+        v = np.roll(self.letters[codes >> 20], 2, axis=1) * np.roll(self.letters[(codes >> 10) & 1023], 1, axis=1) * self.letters[codes & 1023]
+        return v.astype(np.float32)
 
     def of(self, text: str | None) -> np.ndarray | None:
         """Unit-length profile; None without a letter."""
@@ -97,13 +105,28 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DI
     batch_rows(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiles, sums = None, {}
+        profiles, held, size, out = None, {}, 0, {}
+
+        def fold() -> None:
+            for k, parts in held.items():
+                codes, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+                weight = np.bincount(at, np.concatenate([p[1] for p in parts]))
+                for i in range(0, len(codes), 4096):
+                    out[k] = out.get(k, 0) + weight[i : i + 4096] @ profiles.bind(codes[i : i + 4096]).astype(np.float64)
+            held.clear()
+
         for b in small_batches(batches, 256):
             profiles = profiles or Profiles(dim)
             for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if (v := profiles.of(t)) is not None:
-                    sums[k] = sums.get(k, 0) + v.astype(np.float64)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], names=["lang", "v"])
+                codes, counts = profiles.windows(t)
+                if len(codes):
+                    held.setdefault(k, []).append((codes, counts / np.sqrt((counts.astype(float) ** 2).sum())))
+                    size += len(codes)
+            if size > 2_000_000:
+                fold()
+                size = 0
+        fold()
+        yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.string()), pa.array([x.tolist() for x in out.values()], pa.list_(pa.float64()))], names=["lang", "v"])
 
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
     parts = rows.mapInArrow(run, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
