@@ -16,7 +16,7 @@ from tidemark.plans.expr import Stepper, evaluate
 from tidemark.plans.spark import flat
 
 COLS = columns()
-#: Numbers of operators by family; with 7 book operators and 11 bar builders beside these, 513 in all and the footprint.
+#: Operators by family; 12 of microstructure, 7 book operators and 11 builders (10 bars, the footprint) beside these make 514.
 FAMILIES = {
     "Moving Averages": 26, "Momentum Oscillators": 34, "Trend & Directional": 28, "Price Oscillators": 14, "Volatility & Bands": 25, "Bands & Channels": 16, "Trailing Stops": 19, "Volume": 26, "Price Statistics": 55,
     "Ehlers / Cycle": 29, "Pivots & S/R": 12, "DeMark": 19, "Ichimoku & Charts": 7, "Candlestick Patterns": 66, "Derivatives": 17, "Market Profile": 10, "Risk / Performance": 28, "Market Breadth": 15,
