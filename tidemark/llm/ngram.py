@@ -41,16 +41,16 @@ from pyspark.sql import functions as F
 
 from .common import WordHashes, batch_rows, binaries, bounded, columns, shared_dir, words
 
-BITS = 6
+BITS = 5
 SHARDS = 1 << BITS
-GROUPS = 4
+GROUPS = 2
 DISCOUNT = 0.75
 MIN_WORD, MIN_PAIR = 3, 2
 #: Fixed point of log10 probabilities: 0 to -16 in 65,535 steps.
 STEP = 16 / 65535
 #: The end token: a byte string that no word equals, since words hold no space.
 END = b" "
-FLUSH = 3_000_000
+FLUSH = 2_000_000
 TRAIN_MOD = 10
 _U1 = np.uint64(1)
 
@@ -237,23 +237,26 @@ class Pairs:
     def look(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Discounted P(w | u), 0 where the pair isn't kept. u ascending; w >= 0."""
         prob = np.zeros(len(u))
-        edges = np.searchsorted(u, self.base)
+        new = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1]))) if len(u) else np.empty(0, np.int64)
+        contexts, sizes = u[new], np.diff(np.append(new, len(u)))
+        edges = np.searchsorted(contexts, self.base)
         for s in range(SHARDS):
-            lo, hi = edges[s], edges[s + 1]
-            if lo == hi:
+            a, b = edges[s], edges[s + 1]
+            if a == b:
                 continue
-            ctx = u[lo:hi] - self.base[s]
+            lo, hi = new[a], new[b] if b < len(new) else len(u)
+            own = contexts[a:b] - self.base[s]
             group = w[lo:hi] // self.width
             for g in range(GROUPS):
                 if (s, g) not in self.there:
                     continue
-                seq, pointer, code, _ = self.shard(s, g)
                 at = np.flatnonzero(group == g)
                 if not len(at):
                     continue
-                c = ctx[at]
-                first, last = pointer.get(c).astype(np.int64), pointer.get(c + 1).astype(np.int64)
-                i = seq.find((c * self.width + (w[lo:hi][at] - g * self.width)).astype(np.uint64), first, last)
+                seq, pointer, code, _ = self.shard(s, g)
+                first, last = (np.repeat(pointer.get(own + k).astype(np.int64), sizes[a:b])[at] for k in (0, 1))
+                key = (u[lo:hi][at] - self.base[s]) * self.width + (w[lo:hi][at] - g * self.width)
+                i = seq.find(key.astype(np.uint64), first, last)
                 ok = np.flatnonzero(i >= 0)
                 prob[lo + at[ok]] = 10.0 ** (code[i[ok]] * -STEP)
         return prob
@@ -343,11 +346,12 @@ def train(docs: DataFrame) -> dict:
             u[0] = ids[np.searchsorted(h, _END_HASH)]
             ok = (u >= 0) & (w >= 0)
             u, w = u[ok], w[ok]
-            order = np.lexsort((w, u))
-            u, w = u[order], w[order]
-            new = np.flatnonzero(np.concatenate(([True], (u[1:] != u[:-1]) | (w[1:] != w[:-1])))) if len(u) else np.empty(0, np.int64)
-            c = np.diff(np.append(new, len(u)))
-            yield pa.RecordBatch.from_arrays([pa.array(u[new]), pa.array(w[new]), pa.array(c.astype(np.int64))], names=["u", "w", "c"])
+            if level.base[-1] < 1 << 31:
+                pair, c = np.unique(u * level.base[-1] + w, return_counts=True)
+                u, w = pair // level.base[-1], pair % level.base[-1]
+            else:
+                (u, w), c = np.unique(np.stack((u, w)), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(c.astype(np.int64))], names=["u", "w", "c"])
 
     base = Words(where, sizes).base
     width = int(base[-1]) // GROUPS + 1
@@ -399,13 +403,11 @@ class Scorer:
         pair = before[both] * len(h) + inverse[both]
         pairs, back = np.unique(pair, return_inverse=True)
         u, w = ids[pairs // len(h)], ids[pairs % len(h)]
-        order = np.argsort(u, kind="stable")
-        prob = np.empty(len(u))
-        prob[order] = self.pairs.look(u[order], w[order])
+        # known ids rise with the hashes, so pairs and contexts are in order
+        prob = self.pairs.look(u, w)
         ctx = np.flatnonzero(usual)
         one = np.ones(len(h))
-        by_id = ctx[np.argsort(ids[ctx])]
-        one[by_id] = self.pairs.weights(ids[by_id])
+        one[ctx] = self.pairs.weights(ids[ctx])
         smoothed = one[before] * p
         smoothed[both] += prob[back]
         starts = np.concatenate(([0], np.cumsum(n)[:-1]))
@@ -421,7 +423,7 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer, hashes = None, WordHashes()
-        for b in bounded(batches):
+        for b in bounded(batches, 10 << 20):
             scorer = scorer or Scorer(model)
             t, n = _tokens(b, hashes)
             known, base, full = scorer.score(t, n)
