@@ -239,6 +239,8 @@ def apply(df: DataFrame, name: str, *, key: str | list[str], order: list[str], i
     missing = [c for c in [*wanted.values(), *keys, *order] if c not in df.columns]
     if missing:
         raise ValueError(f"{name} needs columns {missing}")
+    if clash := [k for k in outs if k in df.columns]:
+        raise ValueError(f"output columns {clash} are there already; give another out")
     if bounded:
         return stepped(df, outs, keys, order, wanted)
     if native is None:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import books
 from .operators import OPERATORS
 from .operators.bars import BARS
+from .operators.catalog import INPUTS
 from .plans.emit import build_bars
 from .plans.spark import apply, flat, is_native, named
 from .plans.sql import query
@@ -45,6 +46,11 @@ def snake(name: str) -> str:
     return re.sub(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", "_", name).lower()
 
 
+def output(name: str) -> str:
+    """Output column of an operator's query, other than its inputs."""
+    return snake(name) + ("_value" if snake(name) in INPUTS[OPERATORS[name].kind] else "")
+
+
 def candles(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     us = shape.epoch_micros(events, "ts")
@@ -82,8 +88,8 @@ def _operator(name: str):
     op = OPERATORS[name]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        outs = named(op.outputs(), snake(name))
-        return _rounded(apply(_source(spark, sf_dir, op.kind), name, key="sym", order=["ts"], out=snake(name)), outs)
+        outs = named(op.outputs(), output(name))
+        return _rounded(apply(_source(spark, sf_dir, op.kind), name, key="sym", order=["ts"], out=output(name)), outs)
 
     return run
 
@@ -185,7 +191,7 @@ def oracles() -> dict[str, str]:
     out = dict(SHAPE_SQL)
     for n, op in OPERATORS.items():
         if is_native(flat(op.outputs())):
-            out[f"ind_{snake(n)}"] = query(_source_sql(op.kind), n, "sym", "ts", out=snake(n), digits=DIGITS)
+            out[f"ind_{snake(n)}"] = query(_source_sql(op.kind), n, "sym", "ts", out=output(n), digits=DIGITS)
     out |= {f"ind_{snake(n)}": _book_sql(n) for n in books.BOOKS if n != "DepthSlope"}
     return out | {"bars_tick_bars": TICK_BARS_SQL}
 
