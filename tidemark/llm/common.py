@@ -7,6 +7,7 @@ splitting the encoded text equals splitting its code points.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -112,6 +113,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Lets the cleaner delete shuffle files and checkpoints of frames that are no longer referred to.
+
+    It acts only on what the driver's garbage collection has found, which may be long after disks are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def columns(docs: DataFrame, *names: str) -> DataFrame:
     """The named columns of a table, however many others it has; a missing one is null."""
     kinds = {"doc_id": "bigint", "page_id": "bigint", "conv_id": "bigint", "turn": "bigint"}

@@ -16,9 +16,12 @@ Nothing is quadratic in a group of copies, and no link between different texts i
 2. In each band bucket every member is paired with one centre only. Each document first
    confirms the pair that most buckets propose; confirmed links give components.
 3. Buckets whose members are all in one component are settled. In the others, members are
-   compared across components only, in blocks of ``BLOCK`` members: signatures rule out
-   pairs estimated below ``LEAST_ESTIMATE`` (more than five standard deviations under 0.75),
-   the rest are confirmed on full sets, and components are joined by those links.
+   compared across components only, in blocks of ``BLOCK`` members: sketches rule out pairs
+   estimated below ``LEAST_ESTIMATE``. A sketch keeps one byte of the least element in each of
+   ``BINS`` ranges of the hash, so it is nearly exact for sets up to that size, and for large sets
+   the bound is five standard deviations under 0.75.
+   Of any two components the best pairs are confirmed first and join them, so few are left
+   for the last round, which takes every pair that remains.
 
 Components come from rounds of large-star and small-star edges, so a hub with very many links is
 aggregated before the shuffle. Candidates, links and labels stay distributed.
@@ -31,6 +34,7 @@ are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,12 +43,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_rows, binaries, columns, cut, mix64, shingles, small_batches, words
+from .common import WordHashes, batch_rows, binaries, columns, cut, forget, mix64, shingles, small_batches, words
 
 ROWS, BANDS = 4, 40
 PLACES = ROWS * BANDS
 BLOCK = 512
-LEAST_ESTIMATE = 0.55
+BINS = 1024
+LEAST_ESTIMATE = 0.68
+#: Pairs that a block proposes for any two components, round by round; 0: all that are left.
+ROUNDS = (1, 0)
 PERCENT = 75
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -106,7 +113,6 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.array([len(s) for s in sets], np.int64)
         sig = superminhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), len(sets))
         keys = band_keys(sig)
-        small = mix64(sig.astype(np.uint64)).astype(np.uint8)
         full = [x > 0 for x in n]
         yield pa.RecordBatch.from_arrays(
             [
@@ -114,10 +120,10 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(n),
                 pa.array([xxhash.xxh3_128_digest(s.tobytes()) if f else None for s, f in zip(sets, full, strict=True)], pa.binary()),
                 b.column("tkey"),
+                pa.array([k.astype(np.int32).tobytes() if f else None for k, f in zip(keys, full, strict=True)], pa.binary()),
                 pa.array([k if f else None for k, f in zip(keys, full, strict=True)], pa.list_(pa.int64())),
-                pa.array([s.tobytes() if f else None for s, f in zip(small, full, strict=True)], pa.binary()),
             ],
-            names=["doc_id", "n", "digest", "tkey", "bands", "sig"],
+            names=["doc_id", "n", "digest", "tkey", "short", "bands"],
         )
 
 
@@ -127,7 +133,19 @@ def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         sets = _sets(binaries(b.column("text")), hashes)
         off = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
         flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
-        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=["rep", "set"])
+        doc = np.repeat(np.arange(len(sets)), np.diff(off))
+        drawn = sketches(flat.view(np.uint64), doc, len(sets))
+        yield pa.RecordBatch.from_arrays([b.column("rep"), pa.ListArray.from_arrays(pa.array(off), pa.array(flat)), pa.array([zlib.compress(x.tobytes(), 1) for x in drawn], pa.binary()), b.column("short")], names=["rep", "set", "sketch", "short"])
+
+
+def sketches(values: np.ndarray, doc: np.ndarray, n_docs: int) -> np.ndarray:
+    """(n_docs, BINS) of uint8: 0 for an empty bin, else 1 to 255 from the least element in it."""
+    with np.errstate(over="ignore"):
+        h = mix64(values + _GOLD)
+    least = np.full(n_docs * BINS, 0xFFFFFFFFFFFFFFFF, np.uint64)
+    np.minimum.at(least, doc * BINS + (h >> np.uint64(64 - BINS.bit_length() + 1)).astype(np.int64), h)
+    empty = least == np.uint64(0xFFFFFFFFFFFFFFFF)
+    return np.where(empty, 0, 1 + least % np.uint64(255)).astype(np.uint8).reshape(n_docs, BINS)
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -160,86 +178,120 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("i") * 100 >= PERCENT * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b")
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs across components within each (key, i, j) group, by signature estimate and set size."""
+def _compare(most: int):
+    """Pairs across components within each (key, li, ri) group, by set size and sketch estimate: of any two
+    components the ``most`` pairs with the highest estimates, or all where it is 0. A pair that shares several
+    bands is left to the first of them, whose bucket holds the same two components."""
 
-    def pairs(rows: list[tuple]) -> np.ndarray:
+    def pairs(rows: list[tuple], key: int) -> np.ndarray:
         left = [r for r in rows if r[4]]
         right = [r for r in rows if r[5]]
         if not left or not right:
             return np.empty((0, 2), np.int64)
-        cut_at = PLACES * (LEAST_ESTIMATE + (1 - LEAST_ESTIMATE) / 256)
-        sl, sr = (np.frombuffer(b"".join(r[3] for r in x), np.uint8).reshape(len(x), PLACES) for x in (left, right))
-        (il, cl, nl), (ir, cr, nr) = ((np.array([r[k] for r in x], np.int64) for k in (0, 1, 2)) for x in (left, right))
+        sl, sr = (np.frombuffer(b"".join(zlib.decompress(r[3]) for r in x), np.uint8).reshape(len(x), BINS) for x in (left, right))
+        bl, br = (np.frombuffer(b"".join(r[6] for r in x), np.int32).reshape(len(x), BANDS) for x in (left, right))
+        own = np.int32((key & 0xFFFFFFFF) - ((key & 0x80000000) << 1))
+        il, cl, nl = (np.array([r[k] for r in left], np.int64) for k in (0, 1, 2))
+        ir, cr, nr = (np.array([r[k] for r in right], np.int64) for k in (0, 1, 2))
         out = []
         for k in range(len(left)):
-            ok = (cr != cl[k]) & (100 * np.minimum(nr, nl[k]) >= PERCENT * np.maximum(nr, nl[k]))
-            if ok.any():
-                j = np.flatnonzero(ok)
-                j = j[(sr[j] == sl[k]).sum(axis=1) >= cut_at]
-                out.append(np.stack((np.minimum(il[k], ir[j]), np.maximum(il[k], ir[j])), axis=1))
-        return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
-
-    group, rows = None, []
-    for b in batches:
-        c = b.to_pydict()
-        found = []
-        for i in range(b.num_rows):
-            g = (c["key"][i], c["li"][i], c["ri"][i])
-            if g != group:
-                found.append(pairs(rows))
-                group, rows = g, []
-            rows.append((c["rep"][i], c["component"][i], c["n"][i], c["sig"][i], c["is_left"][i], c["is_right"][i]))
+            j = np.flatnonzero((cr != cl[k]) & (100 * np.minimum(nr, nl[k]) >= PERCENT * np.maximum(nr, nl[k])))
+            if len(j):
+                j = j[bl[k][(br[j] == bl[k]).argmax(axis=1)] == own]
+            if len(j):
+                held = (sr[j] | sl[k]) != 0
+                same = ((sr[j] == sl[k]) & held).sum(axis=1) / held.sum(axis=1)
+                same = np.round((same - 1 / 255) / (1 - 1 / 255) * 1e6).astype(np.int64)
+                j, same = j[same >= LEAST_ESTIMATE * 1e6], same[same >= LEAST_ESTIMATE * 1e6]
+                a, b, ca, cb = il[k], ir[j], cl[k], cr[j]
+                out.append(np.stack((np.minimum(a, b), np.maximum(a, b), np.minimum(ca, cb), np.maximum(ca, cb), -same), axis=1))
+        if not out:
+            return np.empty((0, 2), np.int64)
+        found = np.concatenate(out)
+        if most and len(found):
+            found = found[np.lexsort((found[:, 1], found[:, 0], found[:, 4], found[:, 3], found[:, 2]))]
+            new = np.flatnonzero(np.concatenate(([True], (found[1:, 2:4] != found[:-1, 2:4]).any(axis=1))))
+            place = np.arange(len(found)) - np.repeat(new, np.diff(np.append(new, len(found))))
+            found = found[place < most]
+        return np.unique(found[:, :2], axis=0)
+
+    def batch(found: list[np.ndarray]) -> pa.RecordBatch:
         p = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
-    p = pairs(rows)
-    yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
-
-
-def _across(members: DataFrame, labels: DataFrame, reps: DataFrame) -> DataFrame:
+        return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, rows = None, []
+        for b in batches:
+            c = b.to_pydict()
+            found = []
+            for i in range(b.num_rows):
+                g = (c["key"][i], c["li"][i], c["ri"][i])
+                if g != group:
+                    found.append(pairs(rows, group[0] if group else 0))
+                    group, rows = g, []
+                rows.append((c["rep"][i], c["component"][i], c["n"][i], c["sketch"][i], c["is_left"][i], c["is_right"][i], c["short"][i]))
+            yield batch(found)
+        yield batch([pairs(rows, group[0] if group else 0)])
+
+    return run
+
+
+def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, most: int) -> DataFrame:
     """Pairs (a, b) that share a bucket, are in different components and may be similar."""
     m = members.select("key", "rep").join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     m = m.withColumn("component", F.coalesce("component", "rep"))
     sizes = m.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"))
     sizes = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("k"), F.max(F.struct("c", "component")).alias("top")).where("k > 1")
     sizes = sizes.select("key", "m", F.col("top.component").alias("major"), (F.col("m") - F.col("top.c")).alias("rest"))
-    m = m.join(sizes, "key").join(reps.select("rep", "n", "sig"), "rep")
+    m = m.join(sizes, "key").join(sets.select("rep", F.size("set").alias("n"), "sketch", "short"), "rep")
     lb, rb = F.ceil(F.col("rest") / BLOCK).cast("int"), F.ceil(F.col("m") / BLOCK).cast("int")
     h = F.xxhash64("rep", "key")
     m = m.withColumn("lb", lb).withColumn("rb", rb).withColumn("li", F.pmod(h, F.col("lb")).cast("int")).withColumn("ri", F.pmod(h, F.col("rb")).cast("int"))
     m = m.withColumn("out", F.col("component") != F.col("major"))
-    names = ["key", "rep", "component", "n", "sig"]
+    names = ["key", "rep", "component", "n", "sketch", "short"]
     one = m.where("rb = 1").select(*names, F.lit(0).alias("li"), F.lit(0).alias("ri"), F.col("out").alias("is_left"), F.lit(True).alias("is_right"))
     big = m.where("rb > 1")
     left = big.where("out").select(*names, "li", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("ri"), F.lit(True).alias("is_left"), F.lit(False).alias("is_right"))
     right = big.select(*names, F.explode(F.sequence(F.lit(0), F.col("lb") - 1)).alias("li"), "ri", F.lit(False).alias("is_left"), F.lit(True).alias("is_right"))
     rows = one.unionByName(left).unionByName(right)
-    return rows.repartition("key", "li", "ri").sortWithinPartitions("key", "li", "ri").mapInArrow(_compare, "a bigint, b bigint").where("a != b").distinct()
+    return rows.repartition("key", "li", "ri").sortWithinPartitions("key", "li", "ri").mapInArrow(_compare(most), "a bigint, b bigint").where("a != b").distinct()
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels after joining the components of linked vertices."""
+    ends = links.join(labels.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(labels.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+    ends = ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    top = components(ends).select(F.col("id").alias("component"), F.col("component").alias("top"))
+    known = labels.join(top, "component", "left").select("id", F.coalesce("top", "component").alias("component"))
+    alone = top.join(labels, top["component"] == labels["id"], "left_anti").select(F.col("component").alias("id"), F.col("top").alias("component"))
+    return known.unionByName(alone)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document."""
     batch_rows(docs.sparkSession)
     d = columns(docs, "doc_id", "text").withColumn("tkey", F.xxhash64("text"))
-    signed = cut(d.mapInArrow(_signed, "doc_id bigint, n bigint, digest binary, tkey bigint, bands array<bigint>, sig binary"))
+    signed = cut(d.mapInArrow(_signed, "doc_id bigint, n bigint, digest binary, tkey bigint, short binary, bands array<bigint>"))
     full = signed.where("digest is not null and doc_id is not null")
-    reps = cut(full.groupBy("digest").agg(F.min(F.struct("doc_id", "tkey")).alias("s"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig")).select("digest", F.col("s.doc_id").alias("rep"), F.col("s.tkey").alias("tkey"), "n", "bands", "sig"))
+    reps = cut(full.groupBy("digest").agg(F.min(F.struct("doc_id", "tkey")).alias("s"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short")).select("digest", F.col("s.doc_id").alias("rep"), F.col("s.tkey").alias("tkey"), "n", "bands", "short"))
     banded = reps.select("rep", F.explode("bands").alias("key")).repartition("key")
     centres = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("s")).where("c > 1")
     members = cut(banded.join(centres.select("key", F.col("s.rep").alias("centre")), "key"))
     votes = members.where("rep != centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("c"))
     first = votes.groupBy("rep").agg(F.max(F.struct("c", "centre")).alias("s")).select(F.col("rep").alias("a"), F.col("s.centre").alias("b"))
-    wanted = members.select("rep").distinct().join(reps.select("rep", "tkey"), "rep")
-    texts = d.join(wanted, (d["doc_id"] == wanted["rep"]) & (d["tkey"] == wanted["tkey"])).select("rep", "text")
-    sets = cut(texts.mapInArrow(_shingle_sets, "rep bigint, set array<bigint>"))
+    wanted = members.select("rep").distinct().join(reps.select("rep", "tkey", "short"), "rep")
+    texts = d.join(wanted, (d["doc_id"] == wanted["rep"]) & (d["tkey"] == wanted["tkey"])).select("rep", "text", "short")
+    sets = cut(texts.mapInArrow(_shingle_sets, "rep bigint, set array<bigint>, sketch binary, short binary"))
     links = cut(confirmed(first, sets))
     labels = cut(components(links))
-    more = confirmed(_across(members, labels, reps), sets)
-    named = labels.select("id", "component")
-    joined = more.join(named.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(named.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-    second = components(joined.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    final = reps.select("digest", "rep").join(named.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    final = final.join(second.select(F.col("id").alias("component"), F.col("component").alias("top")), "component", "left").select("digest", F.coalesce("top", "component").alias("component"))
+    del first, votes, banded, centres, wanted, texts, links
+    for most in ROUNDS:
+        forget(docs.sparkSession)
+        more = cut(confirmed(_across(members, labels, sets, most), sets))
+        if more.isEmpty():
+            continue
+        labels = cut(_merged(labels, more))
+    final = reps.select("digest", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n", "digest").join(final, "digest", "left")
     comp = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id")).withColumn("kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id")))
