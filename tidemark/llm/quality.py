@@ -88,12 +88,13 @@ def text_counts(docs: DataFrame) -> DataFrame:
     of_lines = lambda x: F.struct(F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines"))
     less = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
     minus = lambda s: F.length(text) - F.length(F.replace(text, F.lit(s), F.lit("")))
-    out = docs.withColumn("_w", _let(words, of_words)).withColumn("_l", _let(lines, of_lines))
-    out = out.withColumn("n_symbols", less(r"[#*$%&|<>]+")).withColumn("n_upper", less(r"\p{Lu}+")).withColumn("n_letters", less(r"\p{L}+"))
-    out = out.withColumn("n_exclaim", minus("!")).withColumn("n_stops", minus("."))
-    names = ["n_symbols", "n_upper", "n_letters", "n_exclaim", "n_stops"]
-    names += ["_w.n_words", "_w.word_chars", "_w.n_repeat_words", "_w.n_distinct", "_l.n_lines", "_l.n_dup_lines"]
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *[F.col(c).cast("long").alias(c.split(".")[-1]) for c in names])
+    chars = {"n_symbols": less(r"[#*$%&|<>]+"), "n_upper": less(r"\p{Lu}+"), "n_letters": less(r"\p{L}+"), "n_exclaim": minus("!"), "n_stops": minus(".")}
+    one = F.struct(_let(words, of_words).alias("w"), _let(lines, of_lines).alias("l"), *[v.alias(k) for k, v in chars.items()])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    # a column that isn't deterministic keeps the optimizer from copying the counts into filters and further columns
+    out = docs.select(*own, one.alias("_c"), F.monotonically_increasing_id().alias("_at"))
+    names = [*chars, "w.n_words", "w.word_chars", "w.n_repeat_words", "w.n_distinct", "l.n_lines", "l.n_dup_lines"]
+    return out.where("_at >= 0").select(*own, *[F.col(f"_c.{c}").cast("long").alias(c.split(".")[-1]) for c in names])
 
 
 def votes() -> Column:
