@@ -25,6 +25,7 @@ import hashlib
 import heapq
 import json
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
@@ -174,8 +175,11 @@ def encode(docs: DataFrame, path: str, pattern: str, digest: bool = False, keep:
     spark = docs.sparkSession
     keep = ["doc_id"] if keep is None else keep
     ranks = read_ranks(path)
-    words = frequent_words(docs, pattern).repartition(64)
-    table = {bytes(r[0]): list(r[1]) for r in words.select("word", fold_merges(F.col("word"), ranks).alias("ids")).collect()}
+    words = frequent_words(docs, pattern).repartition(8)
+    folded = words.select("word", fold_merges(F.col("word"), ranks).alias("ids"))
+    # ids as packed 32-bit integers, taken part by part: lists of them would weigh on the driver
+    table = {bytes(r[0]): array("i", r[1]).tobytes() for r in folded.toLocalIterator()}
+    del words, folded, ranks
     shared = spark.sparkContext.broadcast(table)
     source = docs.select(*keep, *(["text"] if "text" not in keep else []))
     kinds = {f.name: f.dataType for f in source.schema.fields}
@@ -184,7 +188,8 @@ def encode(docs: DataFrame, path: str, pattern: str, digest: bool = False, keep:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, ranks = regex.compile(pattern).findall, read_ranks(path)
         pieces = pieces_of(ranks)
-        common = {w.decode("utf-8", "surrogateescape"): (ids, " ".join(map(str, ids))) for w, ids in shared.value.items()}
+        unpacked = ((w.decode("utf-8", "surrogateescape"), array("i", ids).tolist()) for w, ids in shared.value.items())
+        common = {w: (ids, " ".join(map(str, ids))) for w, ids in unpacked}
 
         class Rare(dict):
             def __missing__(self, w: str) -> tuple[list[int], str]:
