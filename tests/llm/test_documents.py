@@ -253,3 +253,33 @@ def test_ngram_scores(docs, rows, empty):
     blank = ngram.score(source, ngram.train(empty), ["doc_id"]).collect()
     assert all(r.n_known == 0 and r.train_tokens == 0 for r in blank)
     assert ngram.score(empty, ngram.train(docs), ["doc_id"]).count() == 0
+
+
+def test_ngram_keeps_rare_words_pairs_and_triples(docs, rows, monkeypatch):
+    monkeypatch.setattr(ngram, "SHARD_TOKENS", 100)  # many groups
+    toks = [(r[0], [w.encode() for w in fx.words((r[1] or "").translate(fx.LOWER))] + [b" "]) for r in rows]
+    train = [t for i, t in toks if fx.fold(i, 10)]
+    c1, c2, c3, after, types = (collections.Counter() for _ in range(5))
+    for t in train:
+        c1.update(t)
+        c2.update(zip([b" ", *t], t))  # noqa: B905
+        c3.update(zip([b" ", b" ", *t], [b" ", *t], t))  # noqa: B905
+    n, v = sum(c1.values()), len(c1)
+    for (u, w, _), k in c3.items():
+        after[u, w] += k
+        types[u, w] += 1
+    followers = collections.Counter(u for u, _ in c2)
+    d = ngram.DISCOUNT
+    want = collections.defaultdict(list)
+    for i, t in toks:
+        total = 0.0
+        for u, w, x in zip([b" ", b" ", *t], [b" ", *t], t):  # noqa: B905
+            p = (c1[x] + 0.1) / (n + 0.1 * (v + 1))
+            p = (max(c2[w, x] - d, 0) + d * followers[w] * p) / c1[w] if c1[w] else p
+            p = (max(c3[u, w, x] - d, 0) + d * types[u, w] * p) / after[u, w] if after[u, w] else p
+            total += math.log10(p)
+        want[i, len(t)].append(total)
+    model = ngram.train(docs.where(~ngram.held_out()), order=3)
+    assert (model["V"], model["n_pairs"], model["n_triples"]) == (v, len(c2), len(c3)) and model["groups"] > ngram.GROUPS
+    for r in ngram.score(docs, model, ["doc_id"]).collect():
+        assert any(abs(r.score - x) < 5e-4 * r.n_tokens for x in want[r.doc_id, r.n_tokens])

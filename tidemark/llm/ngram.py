@@ -1,6 +1,6 @@
 """Language-model scores from an Elias-Fano n-gram trie (operator 10).
 
-The trie has two levels, cut into shards that are files in the shared folder and are
+The trie has three levels, cut into shards that are files in the shared folder and are
 memory-mapped by the tasks that query them; no task, executor or driver holds a level in memory.
 
 * Level 1: the 64-bit hashes of all training words, sorted, as an Elias-Fano sequence; the position
@@ -9,16 +9,19 @@ memory-mapped by the tasks that query them; no task, executor or driver holds a
   follower ids rise inside the range, so ``context * width + follower`` is monotone over the
   shard and is stored as Elias-Fano too. A query looks for the successor of its follower inside its
   context's range. The level holds 16-bit fixed-point discounted log10 probabilities, and for each
-  context the share of its mass that its kept followers take.
+  context the share of its mass that its followers take.
+* Level 3: the same for each bigram, by its place in its shard of level 2; in the same file.
 
 Smoothing: interpolated absolute discounting over the additively smoothed unigram,
-P(w | u) = max(c(u, w) - D, 0) / c(u) + b(u) P1(w), P1(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)).
-Bigrams seen once, or holding a word seen fewer than ``MIN_WORD`` times, are left to the
-back-off, as is usual; b(u) takes their mass, so P still sums to one. Words are never pruned. The
-context of a document's first word is the end token.
-
-Counts: tasks count what they read, then rows are summed by key (map-side and after the shuffle).
-A word's followers are cut into ``GROUPS`` ranges, so a very common context is many shards' work.
+P(w | u) = max(c(u, w) - D, 0) / c(u) + b(u) P1(w), P1(w) = (c(w) + 0.1) / (N + 0.1 (V + 1)),
+P(x | u, w) = max(c(u, w, x) - D, 0) / c(u, w, any) + b(u, w) P(x | w). The weights b take the mass that
+discounting frees, so P sums to one. Nothing is pruned. The context of a document's first word is the
+end token, twice for trigrams. ``train`` makes levels 1 and 2, with ``order=3``, as the query does, all three.
+
+Counts: tasks count what they read; words are summed by key (map-side and after the shuffle). N-grams
+go to their shard in packed blocks, one from each task for about ``FLUSH`` tokens, and are summed there: one shuffle.
+A word's followers are cut into ranges, ``GROUPS`` or more with the number of tokens, so a very common
+context is many shards' work.
 Writing a shard is idempotent: a task that runs again replaces the file by an equal one.
 
 Defined cases: null, empty or blank text: the end token alone; null doc_id: its text form counts as
@@ -28,7 +31,9 @@ empty table gives no rows; repeated rows each count; further columns are ignored
 
 from __future__ import annotations
 
+import functools
 import json
+import struct
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,7 +50,12 @@ BITS = 5
 SHARDS = 1 << BITS
 GROUPS = 2
 DISCOUNT = 0.75
-MIN_WORD, MIN_PAIR = 3, 2
+#: Least counts of what is kept: everything.
+MIN_WORD, MIN_PAIR = 1, 1
+#: Training tokens of a shard of levels 2 and 3, about; the groups are as many as that takes.
+SHARD_TOKENS = 4_000_000
+#: Stands for the follower of a bigram at a document's end.
+NOTHING = -1
 #: Fixed point of log10 probabilities: 0 to -16 in 65,535 steps.
 STEP = 16 / 65535
 #: The end token: a byte string that no word equals, since words hold no space.
@@ -53,17 +63,20 @@ END = b" "
 FLUSH = 2_000_000
 TRAIN_MOD = 10
 _U1 = np.uint64(1)
+#: Place of the r-th one in a byte.
+_IN_BYTE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.int64)
 
 
 class EliasFano:
     """A non-decreasing sequence of integers below ``universe`` in about 2 + log2(universe / n) bits each."""
 
-    def __init__(self, n: int, universe: int, low: np.ndarray, high: np.ndarray):
+    def __init__(self, n: int, universe: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray | None = None, zeros: np.ndarray | None = None):
         self.n, self.universe, self.low, self.high = n, universe, low, high
         self.l = self.low_bits(n, universe)
-        ones = np.cumsum(np.bitwise_count(high), dtype=np.int64)
-        self.ones = np.concatenate(([0], ones))
-        self.zeros = np.arange(len(high) + 1, dtype=np.int64) * 64 - self.ones
+        if ones is None:
+            ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)))
+            zeros = np.arange(len(high) + 1, dtype=np.int64) * 64 - ones
+        self.ones, self.zeros = ones, zeros
 
     @staticmethod
     def low_bits(n: int, universe: int) -> int:
@@ -99,13 +112,13 @@ class EliasFano:
     def _in_word(w: np.ndarray, r: np.ndarray) -> np.ndarray:
         """Place of the r-th one (from 0) in each word."""
         pos, r = np.zeros(len(w), np.int64), r.copy()
-        for width in (32, 16, 8, 4, 2, 1):
+        for width in (32, 16, 8):
             c = np.bitwise_count(w & np.uint64((1 << width) - 1)).astype(np.int64)
             go = r >= c
             r -= c * go
             w = np.where(go, w >> np.uint64(width), w)
             pos += width * go
-        return pos
+        return pos + _IN_BYTE[(w & np.uint64(255)).astype(np.int64), r]
 
     def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
         cum = self.ones if one else self.zeros
@@ -116,7 +129,26 @@ class EliasFano:
     def get(self, i: np.ndarray) -> np.ndarray:
         """Values at positions i."""
         i = np.asarray(i, np.int64)
-        return ((self._select(i, True) - i).astype(np.uint64) << np.uint64(self.l)) | self._low(i)
+        return self._value(i, self._select(i, True))
+
+    def _value(self, i: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return ((at - i).astype(np.uint64) << np.uint64(self.l)) | self._low(i)
+
+    def _until(self, at: np.ndarray, k: np.ndarray, one: bool) -> np.ndarray:
+        """Place of the k-th one or zero, which is the first at ``at`` or after it; mostly in the same word."""
+        word = np.minimum(at >> 6, len(self.high) - 1)
+        w = self.high[word]
+        w = (w if one else ~w) >> (at & 63).astype(np.uint64)
+        out = at + np.bitwise_count((w & (~w + _U1)) - _U1).astype(np.int64)
+        far = np.flatnonzero((w == 0) | (at >> 6 != word))
+        out[far] = self._select(k[far], one)
+        return out
+
+    def span(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values at positions i and i + 1."""
+        i = np.asarray(i, np.int64)
+        at = self._select(i, True)
+        return self._value(i, at).astype(np.int64), self._value(i + 1, self._until(at + 1, i + 1, True)).astype(np.int64)
 
     def find(self, keys: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
         """Position of each key (uint64 below universe) in [lo, hi), -1 where it isn't there: successor search in its bucket."""
@@ -124,8 +156,8 @@ class EliasFano:
         if not self.n or not len(keys):
             return out
         h = (keys >> np.uint64(self.l)).astype(np.int64)
-        first = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) - (h - 1), 0)
-        last = self._select(h, False) - h
+        start = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) + 1, 0)
+        first, last = start - h, self._until(start, h, False) - h
         if lo is not None:
             first, last = np.maximum(first, lo), np.minimum(last, hi)
         want = keys & np.uint64((1 << self.l) - 1)
@@ -166,26 +198,32 @@ def _write(path: str, meta: dict, arrays: dict[str, np.ndarray]) -> None:
     fs.move(temp, at)
 
 
-def _read(path: str) -> tuple[dict, dict[str, np.ndarray]]:
-    """A shard as memory-mapped arrays; a file in a remote store is first copied to the task's temporary folder."""
+@functools.cache
+def _local(path: str) -> str:
+    """Where a file is; one in a remote store is first copied to the worker's temporary folder."""
     fs, at = pyarrow.fs.FileSystem.from_uri(path)
-    if not isinstance(fs, pyarrow.fs.LocalFileSystem):
-        with tempfile.NamedTemporaryFile(delete=False) as t, fs.open_input_stream(at) as f:
-            while part := f.read(1 << 22):
-                t.write(part)
-            at = t.name
-    buf = pa.memory_map(at).read_buffer()
+    if isinstance(fs, pyarrow.fs.LocalFileSystem):
+        return at
+    with tempfile.NamedTemporaryFile(delete=False) as t, fs.open_input_stream(at) as f:
+        while part := f.read(1 << 22):
+            t.write(part)
+    return t.name
+
+
+def _read(path: str) -> tuple[dict, dict[str, np.ndarray]]:
+    """A shard as memory-mapped arrays."""
+    buf = pa.memory_map(_local(path)).read_buffer()
     size = int.from_bytes(buf[:8].to_pybytes(), "little")
     meta = json.loads(buf[8 : 8 + size].to_pybytes())
     return meta, {name: np.frombuffer(buf, np.dtype(kind), n, 8 + size + off) for name, (kind, n, off) in meta["arrays"].items()}
 
 
 def _ef(arrays: dict[str, np.ndarray], name: str, n: int, universe: int) -> EliasFano:
-    return EliasFano(n, universe, arrays[name + "_low"], arrays[name + "_high"])
+    return EliasFano(n, universe, *(arrays[f"{name}_{part}"] for part in ("low", "high", "ones", "zeros")))
 
 
 def _parts(name: str, ef: EliasFano) -> dict[str, np.ndarray]:
-    return {name + "_low": ef.low, name + "_high": ef.high}
+    return {f"{name}_{part}": getattr(ef, part) for part in ("low", "high", "ones", "zeros")}
 
 
 class Words:
@@ -219,57 +257,84 @@ class Words:
         return ids, counts
 
 
-class Pairs:
-    """Level 2."""
-
-    def __init__(self, where: str, base: np.ndarray, there: set[tuple[int, int]]):
-        self.where, self.base, self.there = where, base, there
-        self.width = int(base[-1]) // GROUPS + 1
-        self.open: dict[tuple[int, int], tuple] = {}
-
-    def shard(self, s: int, g: int) -> tuple:
-        if (s, g) not in self.open:
-            meta, a = _read(f"{self.where}/pairs/{s}-{g}")
-            n, k = meta["n"], meta["contexts"]
-            self.open[s, g] = (_ef(a, "next", n, k * self.width), _ef(a, "pointer", k + 1, n + 1), a["prob"], a["share"])
-        return self.open[s, g]
-
-    def look(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Discounted P(w | u), 0 where the pair isn't kept. u ascending; w >= 0."""
-        prob = np.zeros(len(u))
-        new = np.flatnonzero(np.concatenate(([True], u[1:] != u[:-1]))) if len(u) else np.empty(0, np.int64)
-        contexts, sizes = u[new], np.diff(np.append(new, len(u)))
+class Grams:
+    """Levels 2 and 3. Shards are opened for a batch and let go, so only pages in use are mapped."""
+
+    def __init__(self, model: dict, base: np.ndarray):
+        self.where, self.base, self.groups, self.v = model["where"], base, model["groups"], int(base[-1])
+        self.width = self.v // self.groups + 1
+        self.there = sorted(model["grams"])
+
+    def shard_of(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Number of the shard of each bigram, -1 where a word is unknown."""
+        s = np.searchsorted(self.base, u, side="right") - 1
+        return np.where((u >= 0) & (w >= 0), s * self.groups + w // self.width, -1)
+
+    def look(self, contexts: np.ndarray, u: np.ndarray, w: np.ndarray, of: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Back-off weights of the words ``contexts`` (ids, ascending) and of the bigrams (u, w); discounted P(w | u), and
+        P(x | bigram number ``of``) of trigrams, 0 where there is no such n-gram. Unknown words have the id -1."""
+        back, prob, back2, prob3 = np.ones(len(contexts)), np.zeros(len(u)), np.ones(len(u)), np.zeros(len(of))
+        shard = self.shard_of(u, w)
+        shard3 = np.where(x >= 0, shard[of], -1)
+        two, three = np.argsort(shard, kind="stable"), np.argsort(shard3, kind="stable")
+        sorted2, sorted3 = shard[two], shard3[three]
+        node = np.full(len(u), -1, np.int64)
         edges = np.searchsorted(contexts, self.base)
-        for s in range(SHARDS):
-            a, b = edges[s], edges[s + 1]
-            if a == b:
-                continue
-            lo, hi = new[a], new[b] if b < len(new) else len(u)
-            own = contexts[a:b] - self.base[s]
-            group = w[lo:hi] // self.width
-            for g in range(GROUPS):
-                if (s, g) not in self.there:
-                    continue
-                at = np.flatnonzero(group == g)
-                if not len(at):
-                    continue
-                seq, pointer, code, _ = self.shard(s, g)
-                first, last = (np.repeat(pointer.get(own + k).astype(np.int64), sizes[a:b])[at] for k in (0, 1))
-                key = (u[lo:hi][at] - self.base[s]) * self.width + (w[lo:hi][at] - g * self.width)
-                i = seq.find(key.astype(np.uint64), first, last)
-                ok = np.flatnonzero(i >= 0)
-                prob[lo + at[ok]] = 10.0 ** (code[i[ok]] * -STEP)
-        return prob
-
-    def weights(self, u: np.ndarray) -> np.ndarray:
-        """Back-off weight of contexts u, ascending."""
-        back = np.ones(len(u))
-        edges = np.searchsorted(u, self.base)
         for s, g in self.there:
+            number = s * self.groups + g
+            at, at3 = (o[slice(*np.searchsorted(k, (number, number + 1)))] for o, k in ((two, sorted2), (three, sorted3)))
             lo, hi = edges[s], edges[s + 1]
-            if lo < hi:
-                back[lo:hi] -= self.shard(s, g)[3][u[lo:hi] - self.base[s]] / 65535
-        return np.maximum(back, 1e-6)
+            if lo == hi and not len(at):
+                continue
+            meta, a = _read(f"{self.where}/grams/{s}-{g}")
+            n, n3, k = meta["n"], meta["n3"], meta["contexts"]
+            back[lo:hi] -= a["share"][contexts[lo:hi] - self.base[s]] / 65535
+            if not len(at):
+                continue
+            seq, pointer = _ef(a, "next", n, k * self.width), _ef(a, "pointer", k + 1, n + 1)
+            own = u[at] - self.base[s]
+            new = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            first, last = (np.repeat(x, np.diff(np.append(new, len(own)))) for x in pointer.span(own[new]))
+            i = seq.find((own * self.width + (w[at] - g * self.width)).astype(np.uint64), first, last)
+            at, i = at[i >= 0], i[i >= 0]
+            node[at] = i
+            prob[at] = _probs(a["prob"][i])
+            if not n3:
+                continue
+            back2[at] -= a["share3"][i] / 65535
+            at3 = at3[node[of[at3]] >= 0]
+            if len(at3):
+                seq, pointer = _ef(a, "next3", n3, n * self.v), _ef(a, "pointer3", n + 1, n3 + 1)
+                own = node[of[at3]]
+                i = seq.find((own * self.v + x[at3]).astype(np.uint64), *pointer.span(own))
+                prob3[at3[i >= 0]] = _probs(a["prob3"][i[i >= 0]])
+        return np.maximum(back, 1e-6), prob, np.maximum(back2, 1e-6), prob3
+
+
+def _probs(codes: np.ndarray) -> np.ndarray:
+    return np.where(codes == 65535, 0.0, 10.0 ** (codes * -STEP))
+
+
+def _shares(at: np.ndarray, prob: np.ndarray, n: int) -> np.ndarray:
+    return np.minimum(65535, np.round(np.bincount(at, prob, minlength=n) * 65535)).astype(np.uint16)
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Non-negative integers, byte by byte: the lowest bytes of all, then the next, as far as any are set."""
+    sizes = [(int(x.max()).bit_length() + 7) // 8 for x in arrays]
+    planes = [x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :k].T.tobytes() for x, k in zip(arrays, sizes, strict=True)]
+    return struct.pack(f"<q{len(sizes)}B", len(arrays[0]), *sizes) + b"".join(planes)
+
+
+def _unpack(blob: bytes, count: int = 3) -> list[np.ndarray]:
+    n, *sizes = struct.unpack_from(f"<q{count}B", blob)
+    out, off = [], 8 + count
+    for k in sizes:
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :k] = np.frombuffer(blob, np.uint8, n * k, off).reshape(k, n).T
+        out.append(x.reshape(-1).view("<i8"))
+        off += n * k
+    return out
 
 
 def _codes(p: np.ndarray) -> np.ndarray:
@@ -312,8 +377,11 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
 
 
-def train(docs: DataFrame) -> dict:
-    """Writes the trie of all texts of ``docs`` (column text) to the shared folder; returns what a query needs."""
+def train(docs: DataFrame, order: int = 2) -> dict:
+    """Writes the trie of all texts of ``docs`` (column text) to the shared folder, of bigrams or (``order`` 3) trigrams
+    too; returns what a query needs."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
     batch_rows(spark)
     where = shared_dir(spark) + "/ngram"
@@ -334,48 +402,73 @@ def train(docs: DataFrame) -> dict:
     sizes = {r["shard"]: r["n"] for r in shards}
     model = {"where": where, "sizes": sizes, "V": sum(sizes.values()), "N": sum(r["total"] for r in shards)}
 
-    def count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    groups = max(GROUPS, model["N"] // (SHARDS * SHARD_TOKENS) + 1)
+    base = Words(where, sizes).base
+    v = int(base[-1])
+    width = v // groups + 1
+
+    def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = Words(where, sizes)
-        for t, n in _gather(batches):
+        for t, _ in _gather(batches):
             h, inverse = np.unique(t, return_inverse=True)
-            ids, counts = level.look(h)
-            ids[counts < MIN_WORD] = -1
-            w = ids[inverse]
-            u = np.empty_like(w)
-            u[1:] = w[:-1]  # the token before a document's first is the end of another: the same token
-            u[0] = ids[np.searchsorted(h, _END_HASH)]
-            ok = (u >= 0) & (w >= 0)
-            u, w = u[ok], w[ok]
-            if level.base[-1] < 1 << 31:
-                pair, c = np.unique(u * level.base[-1] + w, return_counts=True)
-                u, w = pair // level.base[-1], pair % level.base[-1]
+            ids, _ = level.look(h)
+            end = int(np.searchsorted(h, _END_HASH))
+            before = np.concatenate(([end], inverse[:-1]))  # the token before a document's first is the end of another: the same token
+            grams = [(before, inverse, np.full(len(t), NOTHING, np.int64))]
+            if order == 3:
+                last = np.flatnonzero(inverse == end)
+                second = np.where(before == end, end, np.concatenate(([end, end], inverse[:-2]))[: len(t)])
+                grams = [(before[last], inverse[last], np.full(len(last), NOTHING, np.int64)), (second, before, inverse)]
+            a, b, x = (np.concatenate(k) for k in zip(*grams, strict=True))
+            m = len(h) + 1
+            if m < 1 << 20:
+                key, c = np.unique((a * m + b) * m + (x + 1), return_counts=True)
+                a, b, x = key // (m * m), key // m % m, key % m - 1
             else:
-                (u, w), c = np.unique(np.stack((u, w)), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(w), pa.array(c.astype(np.int64))], names=["u", "w", "c"])
-
-    base = Words(where, sizes).base
-    width = int(base[-1]) // GROUPS + 1
-
-    def write_pairs(table: pa.Table) -> pa.Table:
+                (a, b, x), c = np.unique(np.stack((a, b, x)), axis=1, return_counts=True)
+            u, w, x = ids[a], ids[b], np.where(x < 0, v, ids[x])
+            s = np.searchsorted(base, u, side="right") - 1
+            shard = s * groups + w // width
+            by = np.argsort(shard, kind="stable")
+            numbers, starts = np.unique(shard[by], return_index=True)
+            key = (u - base[s]) * width + w % width
+            blobs = [_pack(np.diff(key[k], prepend=0), x[k], c[k]) for k in np.split(by, starts[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array((numbers // groups).astype(np.int32)), pa.array((numbers % groups).astype(np.int32)), pa.array(blobs, pa.binary())], names=["s", "g", "grams"])
+
+    def write_grams(table: pa.Table) -> pa.Table:
         s, g = table.column("s")[0].as_py(), table.column("g")[0].as_py()
-        u, w, c = (table.column(k).to_numpy() for k in ("u", "w", "c"))
-        u = u - base[s]
-        order = np.lexsort((w, u))
-        u, w, c = u[order], w[order], c[order]
+        parts = [_unpack(b) for b in table.column("grams").to_pylist()]
+        key, x, c = np.concatenate([np.cumsum(p[0]) for p in parts]), *(np.concatenate([p[i] for p in parts]) for i in (1, 2))
+        del parts
         k = int(base[s + 1] - base[s])
+        by = np.argsort(key * (v + 1) + x, kind="stable") if k * width * (v + 1) < 1 << 63 else np.lexsort((x, key))
+        key, x, c = key[by], x[by], c[by]
+        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]))))
+        key, x, c = key[new], x[new], np.add.reduceat(c, new)
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        n, node = len(first), np.repeat(np.arange(len(first)), np.diff(np.append(first, len(key))))
+        real = x < v
+        key2 = key[first]
+        follow = np.bincount(node[real], c[real], minlength=n)
+        # a bigram is counted by what follows it, or by itself at a document's end; the context before a first word is no bigram
+        end = Words(where, sizes).look(np.array([_END_HASH], np.uint64))[0][0]
+        c2 = np.bincount(node[~real], c[~real], minlength=n) + np.where(key2 % width + g * width == end, 0, follow)
+        u = key2 // width
         seen = np.diff(Words(where, sizes).shard(s)[1].get(np.arange(k + 1)).astype(np.int64))
-        prob = (c - DISCOUNT) / seen[u]
-        share = np.minimum(65535, np.round(np.bincount(u, prob, minlength=k) * 65535)).astype(np.uint16)
-        seq = EliasFano.build(u * width + (w - g * width), k * width)
-        pointer = EliasFano.build(np.searchsorted(u, np.arange(k + 1)), len(u) + 1)
-        _write(f"{where}/pairs/{s}-{g}", {"n": len(u), "contexts": k}, _parts("next", seq) | _parts("pointer", pointer) | {"prob": _codes(prob), "share": share})
-        return pa.table({"s": pa.array([s], pa.int32()), "g": pa.array([g], pa.int32()), "n": pa.array([len(u)], pa.int64())})
-
-    kept = text.mapInArrow(count_pairs, "u bigint, w bigint, c bigint").groupBy("u", "w").agg(F.sum("c").alias("c")).where(F.col("c") >= MIN_PAIR)
-    of_shard = F.aggregate(F.array(*[F.lit(int(x)) for x in base[1:]]), F.lit(0), lambda a, x: a + (x <= F.col("u")).cast("int"))
-    placed = kept.withColumn("s", of_shard).withColumn("g", F.expr(f"CAST(w div {width} AS INT)"))
-    made = placed.groupBy("s", "g").applyInArrow(write_pairs, "s int, g int, n bigint").collect()
-    return model | {"pairs": [(r["s"], r["g"]) for r in made], "n_pairs": sum(r["n"] for r in made)}
+        prob = np.maximum(c2 - DISCOUNT, 0) / seen[u]
+        arrays = _parts("next", EliasFano.build(key2, k * width)) | _parts("pointer", EliasFano.build(np.searchsorted(u, np.arange(k + 1)), n + 1))
+        arrays |= {"prob": _codes(prob), "share": _shares(u, prob, k)}
+        node, x, c = node[real], x[real], c[real]
+        if len(node):
+            prob3 = (c - DISCOUNT) / follow[node]
+            arrays |= _parts("next3", EliasFano.build(node * v + x, n * v)) | _parts("pointer3", EliasFano.build(np.searchsorted(node, np.arange(n + 1)), len(node) + 1))
+            arrays |= {"prob3": _codes(prob3), "share3": _shares(node, prob3, n)}
+        _write(f"{where}/grams/{s}-{g}", {"n": n, "n3": len(node), "contexts": k}, arrays)
+        return pa.table({"s": pa.array([s], pa.int32()), "g": pa.array([g], pa.int32()), "n": pa.array([int((c2 > 0).sum())], pa.int64()), "n3": pa.array([len(node)], pa.int64())})
+
+    placed = text.mapInArrow(count_grams, "s int, g int, grams binary")
+    made = placed.groupBy("s", "g").applyInArrow(write_grams, "s int, g int, n bigint, n3 bigint").collect()
+    return model | {"groups": groups, "grams": [(r["s"], r["g"]) for r in made], "n_pairs": sum(r["n"] for r in made), "n_triples": sum(r["n3"] for r in made)}
 
 
 # ---------------------------------------------------------------- scoring
@@ -387,32 +480,29 @@ class Scorer:
     def __init__(self, model: dict):
         self.n, self.v = model["N"], model["V"]
         self.words = Words(model["where"], model["sizes"])
-        self.pairs = Pairs(model["where"], self.words.base, set(model["pairs"]))
+        self.grams = Grams(model, self.words.base)
 
     def score(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """n_known, base score and score of texts of n tokens each, whose hashes t holds in order."""
         h, inverse = np.unique(t, return_inverse=True)
         ids, counts = self.words.look(h)
         p1 = (counts + 0.1) / (self.n + 0.1 * (self.v + 1))
-        usual = counts >= MIN_WORD
         end = int(np.searchsorted(h, _END_HASH))
         before = np.concatenate(([end], inverse[:-1]))
-        p = p1[inverse]
-        log_base = np.log10(p)
-        both = np.flatnonzero(usual[before] & usual[inverse])
-        pair = before[both] * len(h) + inverse[both]
-        pairs, back = np.unique(pair, return_inverse=True)
-        u, w = ids[pairs // len(h)], ids[pairs % len(h)]
-        # known ids rise with the hashes, so pairs and contexts are in order
-        prob = self.pairs.look(u, w)
-        ctx = np.flatnonzero(usual)
-        one = np.ones(len(h))
-        one[ctx] = self.pairs.weights(ids[ctx])
-        smoothed = one[before] * p
-        smoothed[both] += prob[back]
         starts = np.concatenate(([0], np.cumsum(n)[:-1]))
+        p = p1[inverse]
+        # bigrams of the texts, and the two ends before a first word
+        pairs, at = np.unique(np.append(before * len(h) + inverse, end * len(h) + end), return_inverse=True)
+        of = np.concatenate(([at[-1]], at[:-2]))
+        of[starts] = at[-1]
+        at = at[:-1]
+        triples, at3 = np.unique(of * len(h) + inverse, return_inverse=True)
+        known = np.flatnonzero(ids >= 0)  # their ids rise with the hashes
+        weight = np.ones(len(h))
+        weight[known], prob, back, prob3 = self.grams.look(ids[known], ids[pairs // len(h)], ids[pairs % len(h)], triples // len(h), ids[triples % len(h)])
+        smoothed = prob3[at3] + back[of] * (prob[at] + weight[before] * p)
         add = lambda x: np.add.reduceat(x, starts)
-        return add((counts[inverse] > 0).astype(np.int64)), add(log_base), add(np.log10(smoothed))
+        return add((counts[inverse] > 0).astype(np.int64)), add(np.log10(p)), add(np.log10(smoothed))
 
 
 def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
@@ -443,4 +533,4 @@ def held_out(name: str = "doc_id") -> Column:
 
 def op10_ngram_trie(spark, sf_dir: str) -> DataFrame:
     docs = columns(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text").withColumn("held_out", held_out())
-    return score(docs, train(docs.where(~held_out())), ["doc_id", "held_out"])
+    return score(docs, train(docs.where(~held_out()), order=3), ["doc_id", "held_out"])
