@@ -105,6 +105,14 @@ def test_near_copies_of_one_text(spark):
     assert got == fx.components([(i, t) for i, t in rows])
 
 
+def test_near_duplicates_of_short_texts(spark):
+    """Texts of 7 words and ones of 8 that they begin: 3 of 4 shingles are shared, and the longer ones don't resemble each other."""
+    texts = [" ".join([f"f{k}w{i}" for i in range(7)] + [f"end{e}"] * (e > 0)) for k in range(400) for e in range(5)]
+    rows = [(i * 7919 % len(texts), t) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == fx.components(rows)
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(3)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64)

@@ -19,7 +19,8 @@ Nothing is quadratic in a group of copies, and no link between different texts i
    compared across components only, in blocks of ``BLOCK`` members: sketches rule out pairs
    estimated below ``LEAST_ESTIMATE``. A sketch keeps one byte of the least element in each of
    ``BINS`` ranges of the hash, so it is nearly exact for sets up to that size, and for large sets
-   the bound is five standard deviations under 0.75.
+   the bound is about five standard deviations under 0.75. In a small set one collision of two elements
+   may take 3/4 below the bound, so a set of fewer than ``SKETCHED`` elements is never ruled out by it.
    Of any two components the best pairs are confirmed first and join them, so few are left
    for the last round, which takes every pair that remains.
 
@@ -50,6 +51,7 @@ PLACES = ROWS * BANDS
 BLOCK = 512
 BINS = 1024
 LEAST_ESTIMATE = 0.68
+SKETCHED = 64
 #: Pairs that a block proposes for any two components, round by round; 0: all that are left.
 ROUNDS = (1, 0)
 PERCENT = 75
@@ -202,7 +204,8 @@ def _compare(most: int):
                 held = (sr[j] | sl[k]) != 0
                 same = ((sr[j] == sl[k]) & held).sum(axis=1) / held.sum(axis=1)
                 same = np.round((same - 1 / 255) / (1 - 1 / 255) * 1e6).astype(np.int64)
-                j, same = j[same >= LEAST_ESTIMATE * 1e6], same[same >= LEAST_ESTIMATE * 1e6]
+                stay = (same >= LEAST_ESTIMATE * 1e6) | (np.minimum(nr[j], nl[k]) < SKETCHED)
+                j, same = j[stay], same[stay]
                 a, b, ca, cb = il[k], ir[j], cl[k], cr[j]
                 out.append(np.stack((np.minimum(a, b), np.maximum(a, b), np.minimum(ca, cb), np.maximum(ca, cb), -same), axis=1))
         if not out:
