@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 from tidemark.llm import bpe, decontaminate, language, neardup, quality
 from tidemark.llm.common import shared_dir
 
-#: Documents whose best language cosine is below this are not in a known language.
-LEAST_LANGUAGE_SCORE = 0.02
-
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
@@ -27,8 +24,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or like none of the languages, go."""
     names = docs.columns
-    found = language.predict(docs, language.learn(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*[F.col(f"`{c}`") for c in names])
+    prototypes = language.learn(docs)
+    found = language.predict(docs, prototypes)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= language.least_score(prototypes))).select(*[F.col(f"`{c}`") for c in names])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -96,6 +96,19 @@ def test_queries_return_a_row_a_document(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).count() == len(fx.documents())
 
 
+def test_pipeline_drops_unknown_languages(spark, sf_dir):
+    rng = random.Random(8)
+    clean = [(i, fx.prose(rng, 120, lang), lang) for i in range(60) for lang in [("en", "de")[i % 2]]]
+    made_up = [" ".join(rng.choice(["zvo", "kly", "mra", "bje"]) + rng.choice(["zvo", "kly", "mra", "bje"]) for _ in range(200)) for _ in range(20)]
+    alphabets = ["abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x4E00, 0x5600))), "".join(map(chr, range(0x3B1, 0x3CA)))]
+    junk = [" ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 9))) for _ in range(200)) for a in alphabets for _ in range(30)]
+    rows = clean + [(1000 + i, t, None) for i, t in enumerate(made_up + junk)]
+    kept = corpus_pipeline.language_id(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), sf_dir)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(60))
+    one = language.learn(spark.createDataFrame([(clean[0][1], "a"), (clean[0][1], "b")], "text string, lang string"))
+    assert language.least_score(one) < 0.5 and language.least_score({}) > 0
+
+
 def test_pipeline(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     ids = [-1 if r.doc_id is None else r.doc_id for r in out.collect()]

@@ -35,6 +35,7 @@ DIM = 512
 SYMBOLS = 1024
 MOST_LANGUAGES = 2000
 SEED = 7
+MOST_COMMON = 0.3
 
 
 class Profiles:
@@ -168,6 +169,15 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM)
     return docs.mapInArrow(run, ddl)
 
 
+def least_score(prototypes: dict[str, np.ndarray], dim: int = DIM) -> float:
+    """The cosine that a text in one of the languages reaches: what texts in different languages have in common, as the
+    most alike prototypes have, and four standard deviations of the cosine of independent vectors, 1 / sqrt(dim).
+    The common part counts as MOST_COMMON at most, so that one language under two labels doesn't raise the bar."""
+    m = np.stack(list(prototypes.values())) if prototypes else np.empty((0, dim))
+    common = (m @ m.T)[np.triu_indices(len(m), 1)].max(initial=0.0)
+    return float(min(common, MOST_COMMON) + 4 / np.sqrt(dim))
+
+
 def in_fold(k: int, r: int, name: str = "doc_id") -> Column:
     """Whether crc32(doc_id as text) mod k is r; a null doc_id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(name).cast("string"), F.lit("")).cast("binary")) % k == r
