@@ -218,6 +218,17 @@ def test_decontamination(spark, docs, rows):
     assert decontaminate.keep_clean(docs, bench.limit(0)).count() == len(rows)
 
 
+@pytest.mark.parametrize("size", [100, 16 << 20])
+def test_decontamination_by_items_without_id(docs, rows, spark, monkeypatch, size):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size)
+    items = [(None, " ".join(fx.words(rows[4][1])[5:45])), (None, " ".join(fx.words(rows[4][1])[10:50])), (1, " ".join(fx.words(rows[4][1])[5:45])), (None, " ".join(fx.words(rows[30][1])[5:45])), (None, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: {(x.item_id, x.similarity) for x in r._items} for r in decontaminate.match_items(docs, bench).collect()}
+    counts = {r.doc_id: len(r._items) for r in decontaminate.match_items(docs, bench).collect()}
+    assert got[4] == {(1, 1.0), (None, 1.0)} and got[30] == {(None, 1.0)} and counts[4] == 2 and counts[30] == 1
+    assert not {4, 30} & {r.doc_id for r in decontaminate.keep_clean(docs, bench).collect()}
+
+
 def test_decontamination_in_blocks(docs, rows, spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 100)
     bench = spark.createDataFrame([(i, " ".join(fx.words(rows[i][1])[:30])) for i in range(6)], "item_id long, text string")

@@ -17,7 +17,8 @@ items of that length rule it out. That bound is exact.
 The items (stated queries) are sent to all tasks in blocks of at most ``BLOCK_BYTES`` of text;
 a larger benchmark makes more passes inside the same tasks. Documents are never shuffled.
 
-Defined cases: null or empty text: kept, no items; an item without words matches nothing; items or
+Defined cases: an item without an item_id matches as any other, all such items counting as one with a null
+item_id, as items that share an item_id count as one; null or empty text: kept, no items; an item without words matches nothing; items or
 documents of fewer than five words: the whole sequence is one shingle; a document shorter than
 an item is one window; repeated rows each give a row; an empty benchmark keeps all; further
 columns are ignored.
@@ -58,7 +59,7 @@ def fingerprint(sums: np.ndarray) -> np.ndarray:
 class Index:
     """Benchmark items: shingles for the exact bound, and blocks of fingerprints by window length."""
 
-    def __init__(self, items: list[tuple[int, bytes]]):
+    def __init__(self, items: list[tuple[int | None, bytes]]):
         hashes = WordHashes()
         self.items, self.by_length = [], defaultdict(lambda: defaultdict(list))
         seen, lengths = [], []
@@ -108,7 +109,7 @@ class Index:
 
     def find(self, h: np.ndarray) -> dict[int, float]:
         """item -> best similarity over all windows of a document's word hashes."""
-        best: dict[int, float] = {}
+        best: dict[int | None, float] = {}
         n = len(h)
         if not n:
             return best
@@ -163,14 +164,14 @@ def match_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Adds _items (array<struct<item_id, similarity>>) to ``docs``, which needs a column text."""
     spark = docs.sparkSession
     batch_rows(spark)
-    items = columns(benchmark.withColumnRenamed("item_id", "doc_id") if "item_id" in benchmark.columns else benchmark, "doc_id", "text").where("text is not null and doc_id is not null")
+    items = columns(benchmark.withColumnRenamed("item_id", "doc_id") if "item_id" in benchmark.columns else benchmark, "doc_id", "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = 1 + size // BLOCK_BYTES
     kind = "array<struct<item_id:bigint,similarity:double>>"
     out = docs.withColumn("_items", F.array().cast(kind))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", _items {kind}"
     for k in range(blocks):
-        block = [(r[0], bytes(r[1])) for r in items.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == k).select("doc_id", F.col("text").cast("binary")).collect()]
+        block = [(r[0], bytes(r[1])) for r in items.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(blocks)) == k).select("doc_id", F.col("text").cast("binary")).collect()]
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -180,7 +181,11 @@ def match_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 found = []
                 for t, old in zip(binaries(b.column(b.schema.get_field_index("text"))), b.column(b.num_columns - 1).to_pylist(), strict=True):
                     best = index.find(hashes.of(words(t)))
-                    found.append([*(old or []), *({"item_id": i, "similarity": s} for i, s in sorted(best.items()))])
+                    if old and (null := [x["similarity"] for x in old if x["item_id"] is None]) and None in best:
+                        best[None] = max(best[None], *null)
+                        old = [x for x in old if x["item_id"] is not None]
+                    ordered = sorted(best.items(), key=lambda x: (x[0] is None, x[0] or 0))
+                    found.append([*(old or []), *({"item_id": i, "similarity": s} for i, s in ordered)])
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, arrow)], names=b.schema.names)
 
         out = out.mapInArrow(run, ddl)
