@@ -2,7 +2,8 @@
 
 Every stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and
 returns a DataFrame that is written as Parquet and read again as the next stage's docs. All but
-the last return the columns of documents; the last returns doc_id, source, lang, n_tokens and the ids.
+the last return the columns of documents; the last returns doc_id, source, lang, n_tokens, the ids, and the
+SHA-256 of what they decode to and whether that is the text.
 
 Trained models (rule accuracies, language prototypes) are fitted on the stage's own input.
 """
@@ -40,11 +41,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document left."""
+    """Token ids of every document left, decoded again: a null text counts as empty."""
     import public_tokenizers as tokenizers
 
-    out = bpe.encode(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, keep=["doc_id", "source", "lang"])
-    return out.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    out = bpe.decode(bpe.encode(docs, path, tokenizers.PATTERN, keep=["doc_id", "source", "lang", "text"]), path)
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return out.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
 
 
 STAGES = [

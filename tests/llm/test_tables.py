@@ -1,5 +1,6 @@
 """Operators over pages and conversations, the queries' SQL, and the pipeline."""
 
+import hashlib
 import random
 
 import duckdb
@@ -109,6 +110,13 @@ def test_pipeline_drops_unknown_languages(spark, sf_dir):
     assert language.least_score(one) < 0.5 and language.least_score({}) > 0
 
 
+def test_pipeline_decodes_what_it_encodes(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    got = corpus_pipeline.byte_bpe(spark, docs, sf_dir).collect()
+    want = sorted(hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect())
+    assert sorted(r.decoded_sha256 for r in got) == want and all(r.round_trip for r in got)
+
+
 def test_pipeline(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     ids = [-1 if r.doc_id is None else r.doc_id for r in out.collect()]
