@@ -11,7 +11,6 @@ Trained models (rule accuracies, language prototypes) are fitted on the stage's
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, decontaminate, language, neardup, quality
 from tidemark.llm.common import shared_dir
@@ -24,10 +23,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or like none of the languages, go."""
-    names = docs.columns
-    prototypes = language.learn(docs)
-    found = language.predict(docs, prototypes)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= language.least_score(prototypes))).select(*[F.col(f"`{c}`") for c in names])
+    return language.keep_known(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,10 +40,7 @@ def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document left, decoded again: a null text counts as empty."""
     import public_tokenizers as tokenizers
 
-    path = tokenizers.path("byte_bpe_50k.tiktoken")
-    out = bpe.decode(bpe.encode(docs, path, tokenizers.PATTERN, keep=["doc_id", "source", "lang", "text"]), path)
-    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return out.select("doc_id", "source", "lang", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"), same.alias("round_trip"))
+    return bpe.encode(docs, tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN, keep=["doc_id", "source", "lang"], outputs=["n_tokens", "ids", "decoded_sha256", "round_trip"])
 
 
 STAGES = [

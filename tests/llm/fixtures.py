@@ -78,3 +78,13 @@ def components(rows):
                 x, y = root(a), root(b)
                 up[max(x, y)] = min(x, y)
     return {i: root(i) for i in up}
+
+
+def merges(word, ranks):
+    """Byte pairs merged one at a time, the leftmost of least rank first."""
+    p = [ranks[word]] if word in ranks else None
+    parts = [] if p else [word[i : i + 1] for i in range(len(word))]
+    while pairs := [(ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in ranks]:  # noqa: B905
+        i = min(pairs)[1]
+        parts[i : i + 2] = [parts[i] + parts[i + 1]]
+    return p or [ranks[x] for x in parts]

@@ -3,15 +3,17 @@
 import collections
 import hashlib
 import math
+import random
 import zlib
 
 import fixtures as fx
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, language, neardup, ngram, quality, shards, tokens
+from tidemark.llm import bpe, decontaminate, files, language, neardup, ngram, quality, shards, tokens
 
 BPE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -142,11 +144,6 @@ def test_token_counts(docs, rows, empty):
     assert collections.Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == want
     assert all(r.over_limit == (r.n_tokens > 100) for r in got)
     assert tokens.count_tokens(empty, path).count() == 0
-    small = tokens.PieceCounter(path, limit=3)
-    for text in (b"a b c", b"d e f", b"a"):
-        f = collections.Counter(text.split())
-        small.learn(set(f))
-        assert small.count(f) == len(whole.encode(text.decode(), add_special_tokens=False).ids) and len(small.table) <= 3
 
 
 def tiktoken_encoding():
@@ -157,7 +154,7 @@ def tiktoken_encoding():
 
 def test_bpe_round_trip(docs, rows, empty):
     enc = tiktoken_encoding()
-    got = bpe.encode(docs, BPE, public_tokenizers.PATTERN, digest=True).collect()
+    got = bpe.encode(docs, BPE, public_tokenizers.PATTERN, outputs=["n_tokens", "ids_sha256", "decoded_sha256"]).collect()
     want = collections.Counter()
     for r in rows:
         ids = enc.encode_ordinary(r[1] or "")
@@ -168,16 +165,55 @@ def test_bpe_round_trip(docs, rows, empty):
     assert bpe.encode(empty, BPE, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_clashing_names(docs, rows):
+    odd = docs.withColumnRenamed("source", "ids").withColumnRenamed("lang", "decoded").withColumn("k0", F.lit(1))
+    with pytest.raises(ValueError):
+        bpe.encode(odd, BPE, public_tokenizers.PATTERN, keep=["doc_id", "ids"])
+    got = bpe.encode(odd, BPE, public_tokenizers.PATTERN, keep=["k0", "ids", "text"], outputs=["n_tokens", "round_trip"])
+    assert got.columns == ["k0", "ids", "text", "n_tokens", "round_trip"] and all(r.round_trip for r in got.collect())
+    with pytest.raises(ValueError):
+        bpe.decode(docs.select(F.array(F.lit(1)).alias("ids"), F.lit(1).alias("decoded")), BPE)
+
+
 def test_bpe_fold_equals_merges(spark, rows):
-    ranks, words = bpe.read_ranks(BPE), sorted({w.encode() for r in rows[:30] for w in (r[1] or "").split()} | {b"", b" ", b"\xff\x00", " über".encode()})
-    df = spark.createDataFrame([(w,) for w in words], "word binary")
-    for r in df.select("word", bpe.fold_merges(F.col("word"), ranks).alias("ids")).collect():
-        assert list(r.ids) == (bpe.merge_bytes(bytes(r.word), ranks) if r.word else [])
-    for w in words:
-        if len(w) > 1 and w not in ranks:
-            short, bpe.SHORT = bpe.SHORT, 0
-            assert bpe.merge_bytes(w, ranks) == bpe._merge_short(w, ranks)
-            bpe.SHORT = short
+    rng = random.Random(4)
+    ranks, words = bpe.read_ranks(BPE), {w.encode() for r in rows[:30] for w in (r[1] or "").split()} | {b"", b" ", b"\xff\x00", " über".encode(), b"x" * 3000}
+    words |= {bytes(rng.choice(b"aaabnt e\xc3") for _ in range(rng.randint(1, 60))) for _ in range(300)}
+    df = spark.createDataFrame([(w,) for w in sorted(words)], "word binary")
+    for found in (df.select("word", bpe.fold_merges(F.col("word"), ranks).alias("ids")), bpe.merge_long(df, BPE)):
+        assert all(list(r.ids) == fx.merges(bytes(r.word), ranks) for r in found.collect())
+
+
+def test_bpe_parts_cut_at_word_borders():
+    import regex
+
+    find, rng = regex.compile(public_tokenizers.PATTERN).findall, random.Random(6)
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "b1", " ", " ", "  ", "\n", "\t", "\u00a0", "\x1c", "'s", "'", "!", "日本", "\u2003", "\x85"]) for _ in range(rng.randint(0, 12)))
+        heads, rest, number, off = bpe.encoded_parts(pa.array([text, "x y", None, text]))
+        got = [[(rest[k] if k >= 0 else None) for k in number[a:b]] for a, b in zip(off, off[1:])]  # noqa: B905
+        assert [w for p in [heads[3], *(" " + p for p in got[3][1:])] for w in find(p)] == find(text), repr(text)
+        assert got[0] == got[3] and got[1] == [None, "y"] and got[2] == [None] and heads[2] == ""
+
+
+def test_word_tables(spark, tmp_path, monkeypatch):
+    words = [f"w{i}".encode() for i in range(500)] + [b"", b"\xff\x00", b"x" * 10000]
+    rows = [(w, list(range(i % 5))) for i, w in enumerate(words)]
+    table = files.write_words(spark.createDataFrame(rows, "word binary, ids array<int>"), f"file://{tmp_path}/t", len(rows))
+    found = files.WordTable(table)
+    asked = rows[::-1] + rows[:3]
+    ids, sizes = found.look([w for w, _ in asked])
+    assert ids.tolist() == [i for _, x in asked for i in x] and sizes.tolist() == [len(x) for _, x in asked] and not len(found.look([])[0])
+    with pytest.raises(KeyError):
+        found.look([b"w1", b"not there"])
+    # words of one 64-bit hash are told apart by the other
+    monkeypatch.setattr(files, "_keys", lambda ws: (np.zeros(len(ws), np.uint64), np.array([int(w[1:]) for w in ws], np.uint64)))
+    order = np.arange(20)
+    files.write(f"file://{tmp_path}/u/0", {"n": 20}, {"hi": order * 0, "lo": order, "off": np.arange(21), "ids": order * 3})
+    same = files.WordTable({"where": f"file://{tmp_path}/u", "bits": 5, "shards": [0]})
+    assert same.look([b"w7", b"w0", b"w19"])[0].tolist() == [21, 0, 57]
+    with pytest.raises(KeyError):
+        same.look([b"w20"])
 
 
 def test_language(docs, rows, empty):

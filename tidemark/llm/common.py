@@ -10,10 +10,11 @@ from __future__ import annotations
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,14 +90,35 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = BATCH_ROWS) ->
 def bounded(batches: Iterator[pa.RecordBatch], size: int = 6 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of batches that hold about ``size`` bytes of text each, one row at least."""
     for b in batches:
-        n = np.array([len(x) if x else 0 for x in binaries(b.column(b.schema.get_field_index("text")))])
-        part, at = np.cumsum(n) // size, 0
+        n = pc.fill_null(pc.binary_length(b.column(b.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False)
+        part, at = np.cumsum(n, dtype=np.int64) // size, 0
         for end in [*(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]:
             if end > at:
                 yield b.slice(at, end - at)
             at = end
 
 
+def encoded_words(texts: pa.Array, lower: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of a string column, the number among them of every word in order, and where each text begins
+    and ends in that order. Only distinct words become Python objects."""
+    texts = pc.fill_null(texts, "")
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
+    values, off = split.flatten(), split.offsets.to_numpy().astype(np.int64)
+    off -= off[0]
+    full = pc.binary_length(values).to_numpy(zero_copy_only=False) > 0  # white space at the ends makes empty ones
+    if not full.all():
+        off = np.concatenate(([0], np.cumsum(full)))[off]
+        values = values.filter(pa.array(full))
+    found = values.dictionary_encode()
+    return binaries(found.dictionary), found.indices.to_numpy(zero_copy_only=False).astype(np.int64), off
+
+
+def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... (sizes[0] of them), starts[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder name under ``spark.checkpoint.dir``; a temporary one is set only where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -122,11 +144,21 @@ def forget(spark: SparkSession) -> None:
 
 
 def columns(docs: DataFrame, *names: str) -> DataFrame:
-    """The named columns of a table, however many others it has; a missing one is null."""
-    kinds = {"doc_id": "bigint", "page_id": "bigint", "conv_id": "bigint", "turn": "bigint"}
-    return docs.select(
-        *[(F.col(f"`{n}`") if n in docs.columns else F.lit(None)).cast(kinds.get(n, "string")).alias(n) for n in names]
-    )
+    """The named columns of a table, however many others it has; a missing one is an error."""
+    kinds = {"doc_id": "bigint", "item_id": "bigint", "page_id": "bigint", "conv_id": "bigint", "turn": "bigint"}
+    if missing := [n for n in names if n not in docs.columns]:
+        raise ValueError(f"columns {missing} are missing")
+    return docs.select(*[F.col(f"`{n}`").cast(kinds.get(n, "string")).alias(n) for n in names])
+
+
+def hidden(docs: DataFrame, *shown: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """The table with columns _0, _1, ... and the ``shown`` ones, so that no name of its own can clash with an operator's,
+    and what takes the columns of a result back to their names, dropping all others."""
+    names = docs.columns
+    if missing := [n for n in shown if n not in names]:
+        raise ValueError(f"columns {missing} are missing")
+    inner = [n if n in shown else f"_{i}" for i, n in enumerate(names)]
+    return docs.toDF(*inner), lambda out: out.select(*inner).toDF(*names)
 
 
 def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

@@ -31,20 +31,16 @@ empty table gives no rows; repeated rows each count; further columns are ignored
 
 from __future__ import annotations
 
-import functools
-import json
 import struct
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WordHashes, batch_rows, binaries, bounded, columns, shared_dir, words
+from .files import read, write
 
 BITS = 5
 SHARDS = 1 << BITS
@@ -179,45 +175,6 @@ class EliasFano:
 # ---------------------------------------------------------------- shard files
 
 
-def _write(path: str, meta: dict, arrays: dict[str, np.ndarray]) -> None:
-    fs, at = pyarrow.fs.FileSystem.from_uri(path)
-    fs.create_dir(at.rpartition("/")[0], recursive=True)
-    head, off = {}, 0
-    for name, x in arrays.items():
-        head[name] = (x.dtype.str, len(x), off)
-        off += -(-x.nbytes // 8) * 8
-    text = json.dumps(meta | {"arrays": head}).encode()
-    text += b" " * (-len(text) % 8)
-    temp = f"{at}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(temp) as f:
-        f.write(len(text).to_bytes(8, "little"))
-        f.write(text)
-        for x in arrays.values():
-            f.write(np.ascontiguousarray(x).tobytes())
-            f.write(b"\0" * (-x.nbytes % 8))
-    fs.move(temp, at)
-
-
-@functools.cache
-def _local(path: str) -> str:
-    """Where a file is; one in a remote store is first copied to the worker's temporary folder."""
-    fs, at = pyarrow.fs.FileSystem.from_uri(path)
-    if isinstance(fs, pyarrow.fs.LocalFileSystem):
-        return at
-    with tempfile.NamedTemporaryFile(delete=False) as t, fs.open_input_stream(at) as f:
-        while part := f.read(1 << 22):
-            t.write(part)
-    return t.name
-
-
-def _read(path: str) -> tuple[dict, dict[str, np.ndarray]]:
-    """A shard as memory-mapped arrays."""
-    buf = pa.memory_map(_local(path)).read_buffer()
-    size = int.from_bytes(buf[:8].to_pybytes(), "little")
-    meta = json.loads(buf[8 : 8 + size].to_pybytes())
-    return meta, {name: np.frombuffer(buf, np.dtype(kind), n, 8 + size + off) for name, (kind, n, off) in meta["arrays"].items()}
-
-
 def _ef(arrays: dict[str, np.ndarray], name: str, n: int, universe: int) -> EliasFano:
     return EliasFano(n, universe, *(arrays[f"{name}_{part}"] for part in ("low", "high", "ones", "zeros")))
 
@@ -236,7 +193,7 @@ class Words:
 
     def shard(self, s: int) -> tuple[EliasFano, EliasFano]:
         if s not in self.open:
-            meta, a = _read(f"{self.where}/words/{s}")
+            meta, a = read(f"{self.where}/words/{s}")
             self.open[s] = (_ef(a, "hash", meta["n"], 1 << (64 - BITS)), _ef(a, "total", meta["n"] + 1, meta["total"] + 1))
         return self.open[s]
 
@@ -286,7 +243,7 @@ class Grams:
             lo, hi = edges[s], edges[s + 1]
             if lo == hi and not len(at):
                 continue
-            meta, a = _read(f"{self.where}/grams/{s}-{g}")
+            meta, a = read(f"{self.where}/grams/{s}-{g}")
             n, n3, k = meta["n"], meta["n3"], meta["contexts"]
             back[lo:hi] -= a["share"][contexts[lo:hi] - self.base[s]] / 65535
             if not len(at):
@@ -394,7 +351,7 @@ def train(docs: DataFrame, order: int = 2) -> dict:
         order = np.argsort(h)
         total = np.concatenate(([0], np.cumsum(c[order])))
         hash_, totals = EliasFano.build(h[order], 1 << (64 - BITS)), EliasFano.build(total, int(total[-1]) + 1)
-        _write(f"{where}/words/{s}", {"n": len(h), "total": int(total[-1])}, _parts("hash", hash_) | _parts("total", totals))
+        write(f"{where}/words/{s}", {"n": len(h), "total": int(total[-1])}, _parts("hash", hash_) | _parts("total", totals))
         return pa.table({"shard": pa.array([s], pa.int32()), "n": pa.array([len(h)], pa.int64()), "total": pa.array([int(total[-1])], pa.int64())})
 
     counted = text.mapInArrow(_count_words, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
@@ -463,7 +420,7 @@ def train(docs: DataFrame, order: int = 2) -> dict:
             prob3 = (c - DISCOUNT) / follow[node]
             arrays |= _parts("next3", EliasFano.build(node * v + x, n * v)) | _parts("pointer3", EliasFano.build(np.searchsorted(node, np.arange(n + 1)), len(node) + 1))
             arrays |= {"prob3": _codes(prob3), "share3": _shares(node, prob3, n)}
-        _write(f"{where}/grams/{s}-{g}", {"n": n, "n3": len(node), "contexts": k}, arrays)
+        write(f"{where}/grams/{s}-{g}", {"n": n, "n3": len(node), "contexts": k}, arrays)
         return pa.table({"s": pa.array([s], pa.int32()), "g": pa.array([g], pa.int32()), "n": pa.array([int((c2 > 0).sum())], pa.int64()), "n3": pa.array([len(node)], pa.int64())})
 
     placed = text.mapInArrow(count_grams, "s int, g int, grams binary")
