@@ -117,6 +117,24 @@ def test_pipeline_decodes_what_it_encodes(spark, sf_dir):
     assert sorted(r.decoded_sha256 for r in got) == want and all(r.round_trip for r in got)
 
 
+def test_stages_keep_columns_whatever_their_names(spark, sf_dir):
+    """Every stage but the last, on clashing names, nulls and no rows."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name in ("score", "lang_pred", "_items", "_0", "_row", "_gone", "kept", "n_words", "component_id", "quality", "Text2"):
+        docs = docs.withColumn(name, docs["source"])
+    want = {tuple(r): k for k, r in enumerate(docs.collect())}
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf_dir)
+        assert got.columns == docs.columns and got.dtypes == docs.dtypes
+        rows = got.collect()
+        assert rows and all(tuple(r) in want for r in rows)
+    none = docs.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf_dir).count() == 0
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(docs.drop("text"))
+
+
 def test_pipeline(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     ids = [-1 if r.doc_id is None else r.doc_id for r in out.collect()]

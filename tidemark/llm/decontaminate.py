@@ -21,7 +21,7 @@ Defined cases: an item without an item_id matches as any other, all such items c
 item_id, as items that share an item_id count as one; null or empty text: kept, no items; an item without words matches nothing; items or
 documents of fewer than five words: the whole sequence is one shingle; a document shorter than
 an item is one window; repeated rows each give a row; an empty benchmark keeps all; further
-columns are ignored.
+columns are passed on, but for one named _items, which is replaced.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_rows, binaries, columns, shingles, small_batches, words
+from .common import WordHashes, batch_rows, binaries, columns, hidden, shingles, small_batches, words
 
 WIDTH = 5
 RADIUS, BLOCKS = 27, 8
@@ -161,17 +161,21 @@ def shingles_of(h: np.ndarray, length: int) -> np.ndarray:
 
 
 def match_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Adds _items (array<struct<item_id, similarity>>) to ``docs``, which needs a column text."""
+    """Adds _items (array<struct<item_id, similarity>>) to ``docs``, which needs a column text; a column of that name is replaced."""
     spark = docs.sparkSession
     batch_rows(spark)
-    items = columns(benchmark.withColumnRenamed("item_id", "doc_id") if "item_id" in benchmark.columns else benchmark, "doc_id", "text").where("text is not null")
+    docs = docs.drop("_items")
+    own = docs.columns
+    docs = docs.toDF(*[f"_{i}" for i in range(len(own))])
+    at = own.index("text")
+    items = columns(benchmark, "item_id", "text").where("text is not null")
     size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = 1 + size // BLOCK_BYTES
     kind = "array<struct<item_id:bigint,similarity:double>>"
     out = docs.withColumn("_items", F.array().cast(kind))
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + f", _items {kind}"
     for k in range(blocks):
-        block = [(r[0], bytes(r[1])) for r in items.where(F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.col("text"))), F.lit(blocks)) == k).select("doc_id", F.col("text").cast("binary")).collect()]
+        block = [(r[0], bytes(r[1])) for r in items.where(F.pmod(F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.col("text"))), F.lit(blocks)) == k).select("item_id", F.col("text").cast("binary")).collect()]
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -179,7 +183,7 @@ def match_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64())]))
             for b in small_batches(batches, 128):
                 found = []
-                for t, old in zip(binaries(b.column(b.schema.get_field_index("text"))), b.column(b.num_columns - 1).to_pylist(), strict=True):
+                for t, old in zip(binaries(b.column(at)), b.column(b.num_columns - 1).to_pylist(), strict=True):
                     best = index.find(hashes.of(words(t)))
                     if old and (null := [x["similarity"] for x in old if x["item_id"] is None]) and None in best:
                         best[None] = max(best[None], *null)
@@ -189,12 +193,13 @@ def match_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, arrow)], names=b.schema.names)
 
         out = out.mapInArrow(run, ddl)
-    return out
+    return out.toDF(*own, "_items")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that match no item, with their columns."""
-    return match_items(docs, benchmark).where(F.size("_items") == 0).drop("_items")
+    plain, back = hidden(docs, "text")
+    return back(match_items(plain, benchmark).where(F.size("_items") == 0))
 
 
 def op7_benchmark_leaks(spark, sf_dir: str) -> DataFrame:

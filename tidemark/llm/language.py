@@ -17,7 +17,8 @@ them counts as one gap. Letter vectors come from a seeded hash into ``SYMBOLS``
 
 Defined cases: null text, or text without a letter: ``und``, score 0; no labelled training
 text at all: ``und`` for all; null lang is never learned; a text whose best cosine is negative
-scores 0; repeated rows each give a row; an empty table gives no rows; further columns are ignored.
+scores 0; repeated rows each give a row; an empty table gives no rows; further columns are passed on, but
+for columns named lang_pred and score, which are replaced.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, columns, small_batches
+from .common import batch_rows, columns, hidden, small_batches
 
 DIM = 512
 SYMBOLS = 1024
@@ -143,8 +144,12 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", dim: int = DI
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM) -> DataFrame:
-    """Adds lang_pred and score to ``docs``, which needs a column text."""
+    """Adds lang_pred and score to ``docs``, which needs a column text; columns of those names are replaced."""
     batch_rows(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score")
+    own = docs.columns
+    docs = docs.toDF(*[f"_{i}" for i in range(len(own))])
+    at = own.index("text")
     names = sorted(prototypes)
     matrix = np.stack([prototypes[k] for k in names]) if names else np.empty((0, dim), np.float32)
 
@@ -153,7 +158,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM)
         for b in small_batches(batches, 256):
             profiles = profiles or Profiles(dim)
             langs, scores = [], []
-            for t in b.column(b.schema.get_field_index("text")).to_pylist():
+            for t in b.column(at).to_pylist():
                 v = profiles.of(t)
                 if v is None or not names:
                     langs.append("und")
@@ -166,7 +171,14 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], dim: int = DIM)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names, "lang_pred", "score"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", lang_pred string, score double"
-    return docs.mapInArrow(run, ddl)
+    return docs.mapInArrow(run, ddl).toDF(*own, "lang_pred", "score")
+
+
+def keep_known(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` in one of the languages of their labels, with their columns."""
+    plain, back = hidden(docs, "text")
+    prototypes = learn(docs)
+    return back(predict(plain, prototypes).where((F.col("lang_pred") != "und") & (F.col("score") >= least_score(prototypes))))
 
 
 def least_score(prototypes: dict[str, np.ndarray], dim: int = DIM) -> float:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, cut
+from .common import columns, cut, hidden, shared_dir
 
 #: Space and the five ASCII controls that end a word, as a Java character class.
 _SPACE = r"[ \t-\r]"
@@ -152,12 +152,14 @@ def judge(docs: DataFrame, iterations: int = 40, keep_at: float = 0.5) -> DataFr
 
 
 def keep_good(docs: DataFrame, iterations: int = 40, keep_at: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns; texts are read twice and not shuffled."""
-    names = docs.columns
-    text = F.col("text").cast("string") if "text" in names else F.lit(None).cast("string")
-    m = estimate(text_counts(docs.select(text.alias("text"))), iterations)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_row"), text.alias("text"))
-    return score(text_counts(rows), m, keep_at).where("kept").select(*[F.col("_row")[c].alias(c) for c in names])
+    """The rows of ``docs`` that are kept, with their columns. Rows are written with their counts to the shared folder,
+    so that each text is counted once: the fit reads the counts alone, the verdicts all."""
+    spark = docs.sparkSession
+    plain, back = hidden(docs, "text")
+    path = f"{shared_dir(spark)}/counted"
+    text_counts(plain.withColumn("text", F.col("text").cast("string"))).write.parquet(path)
+    counted = spark.read.parquet(path)
+    return back(score(counted, estimate(counted, iterations), keep_at).where("kept"))
 
 
 def op2_quality_rules(spark, sf_dir: str) -> DataFrame:
