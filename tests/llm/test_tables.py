@@ -147,3 +147,11 @@ def test_pipeline(spark, sf_dir):
     assert sorted(ids) == sorted([r.doc_id for r in d.where("doc_id is not null").collect()] + [-1] * b_null)
     assert 9 not in ids and 0 in ids and 51 not in ids
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "language_id", "near_duplicates", "decontamination", "byte_bpe"]
+
+
+def test_chat_orders_ties_by_text(spark):
+    rows = [(c, 0, "user", t) for c, ts in {1: "ab", 2: "a", 3: "b", 4: "abz", 5: "q"}.items() for t in ts] + [(6, 0, "user", "q"), (6, 0, "user", None), (None, 0, "user", "q"), (None, 0, None, "a"), (7, 0, "user", "q" * 200_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    kept = {r.conv_id: r.chat for r in chat.render(df, chat.maximal(df), "", "\n").collect()}
+    # 1 and 2 begin 4; 5 begins 7's text but isn't its first turn; 6 and the nameless one have the null first
+    assert kept == {3: "userb\n", 4: "usera\nuserb\nuserz\n", 5: "userq\n", 6: "user\nuserq\n", None: "a\nuserq\n", 7: "user" + "q" * 200_000 + "\n"}

@@ -7,15 +7,16 @@ hash and length equal those of a proper prefix of a longer one is a snapshot of
 anti-join removes it. Of equal conversations the smallest conv_id stays. What remains is
 rendered.
 
-Texts are not part of the joins: those see one row for each distinct (length, hash), aggregated
-before the shuffle, so a first turn or conversation that very many share is one row.
+Texts are hashed where they are read and are shuffled once, for the conversations kept. The totals need them only in
+conversations where turns of one number and role differ in text, which are ordered by it. The joins see one row for
+each distinct (length, hash), aggregated before the shuffle, so a first turn or conversation that very many share is one row.
 
 The two sums hold 40 bits of differently seeded 64-bit hashes each; different prefixes agree in
 both with a probability of 2**-80.
 
 Defined cases: turns are ordered by turn, then role, then text (nulls first), and a repeated row is
 a turn of its own; null role or text count as a value of their own in the comparison and
-render as empty; all rows with a null conv_id form one conversation; an empty table gives no
+render as empty; all rows with a null conv_id form one conversation, ordered by one task, with hashes only unless turns tie; an empty table gives no
 rows; further columns are ignored.
 """
 
@@ -29,21 +30,34 @@ from .common import columns
 _MASK = (1 << 40) - 1
 
 
-def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """Adds pos (1..), n (turns of the conversation), h1 and h2 (of the turns up to this one)."""
-    order = ["turn", "role", "text"]
-    over = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = turns.withColumn("pos", F.row_number().over(Window.partitionBy("conv_id").orderBy(*order)))
-    out = out.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("conv_id")))
-    parts = [F.col("pos"), F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
+def _totals(rows: DataFrame, order: list[str]) -> DataFrame:
+    """Adds pos (1..), n (turns of the conversation), h1 and h2 (of the turns up to this one) to rows with the turns' own hashes."""
+    whole = Window.partitionBy("conv_id")
+    over = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("pos", F.row_number().over(whole.orderBy(*order))).withColumn("n", F.count(F.lit(1)).over(whole))
     for k in (1, 2):
-        out = out.withColumn(f"h{k}", F.sum(F.xxhash64(F.lit(k * 7919), *parts).bitwiseAND(F.lit(_MASK))).over(over))
-    return out
+        rows = rows.withColumn(f"h{k}", F.sum(F.xxhash64(F.lit(k), "pos", f"own{k}").bitwiseAND(F.lit(_MASK))).over(over))
+    return rows
+
+
+def prefix_hashes(turns: DataFrame) -> DataFrame:
+    """conv_id, pos (1..), n (turns of the conversation), h1 and h2 (of the turns up to this one)."""
+    parts = [F.col("role").isNull(), F.col("role"), F.col("text").isNull(), F.col("text")]
+    own = turns.select("*", *[F.xxhash64(F.lit(k * 7919), *parts).alias(f"own{k}") for k in (1, 2)])
+    # without texts: the order is the right one unless turns of one number and role differ in text
+    light = _totals(own.drop("text"), ["turn", "role", "own1"])
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "own1")
+    same = [F.lag(c).over(before).eqNullSafe(F.col(c)) for c in ("turn", "role", "own1")]
+    light = light.withColumn("tie", (F.col("pos") > 1) & same[0] & same[1] & ~same[2]).withColumn("tie", F.max("tie").over(Window.partitionBy("conv_id")))
+    tied = light.where("tie").select(F.coalesce("conv_id", F.lit(0)).alias("_k"), F.col("conv_id").isNull().alias("_z")).distinct()
+    heavy = own.withColumn("_k", F.coalesce("conv_id", F.lit(0))).withColumn("_z", F.col("conv_id").isNull()).join(tied, ["_k", "_z"], "left_semi")
+    names = ["conv_id", "pos", "n", "h1", "h2"]
+    return light.where("not tie").select(*names).unionByName(_totals(heavy, ["turn", "role", "text"]).select(*names))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
     """conv_id and n_turns of the conversations that prefix no longer one; of equal ones the smallest conv_id."""
-    hashed = prefix_hashes(columns(turns, "conv_id", "turn", "role", "text")).select("conv_id", "pos", "n", "h1", "h2")
+    hashed = prefix_hashes(columns(turns, "conv_id", "turn", "role", "text"))
     whole = hashed.where("pos = n").groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("copies"))
     inside = hashed.where("pos < n").select(F.col("pos").alias("n"), "h1", "h2").distinct()
     return whole.join(inside, ["n", "h1", "h2"], "left_anti").select("conv_id", F.col("n").cast("long").alias("n_turns"), "copies")
@@ -52,12 +66,15 @@ def maximal(turns: DataFrame) -> DataFrame:
 def render(turns: DataFrame, keep: DataFrame, start: str = "<|{role}|>\n", end: str = "\n<|end|>\n") -> DataFrame:
     """conv_id, n_turns, copies and chat: the turns of each kept conversation in order, one string."""
     t = columns(turns, "conv_id", "turn", "role", "text")
-    t = t.join(keep, t["conv_id"].eqNullSafe(keep["conv_id"])).select(t["conv_id"], "turn", "role", "text", "n_turns", "copies")
+    # a key without nulls, so that the join and the grouping share one exchange of the texts
+    keyed = lambda d: d.withColumn("_k", F.coalesce("conv_id", F.lit(0))).withColumn("_z", F.col("conv_id").isNull())
+    t = keyed(t).drop("conv_id").join(keyed(keep), ["_k", "_z"])
     before, _, after = start.partition("{role}")
     piece = lambda x: F.concat(F.lit(before), F.coalesce(x["role"], F.lit("")), F.lit(after), F.coalesce(x["text"], F.lit("")), F.lit(end))
     rows = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
     chat = F.array_join(F.transform(rows, piece), "")
-    return t.groupBy("conv_id", "n_turns", "copies").agg(chat.alias("chat"))
+    out = t.groupBy("_k", "_z").agg(F.first("conv_id").alias("conv_id"), F.first("n_turns").alias("n_turns"), F.first("copies").alias("copies"), chat.alias("chat"))
+    return out.drop("_k", "_z")
 
 
 def op1_chat_snapshots(spark, sf_dir: str) -> DataFrame:
