@@ -36,10 +36,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_rows, binaries, bounded, columns, shared_dir, words
+from .common import batch_rows, bounded, columns, encoded_words, shared_dir
 from .files import read, write
 
 BITS = 5
@@ -300,38 +301,43 @@ def _codes(p: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- training
 
-_END_HASH = WordHashes()[END]
+_END_HASH = xxhash.xxh3_64_intdigest(END)
 
 
-def _tokens(batch: pa.RecordBatch, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the tokens of all texts of a batch, an end after each, and tokens of each text."""
-    parts, n = [], []
-    end = np.array([_END_HASH], np.uint64)
-    for t in binaries(batch.column("text")):
-        ws = words(t)
-        parts += [hashes.of(ws), end]
-        n.append(len(ws) + 1)
-    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)), np.array(n, np.int64)
+def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct tokens of a string column in ascending order, the number among them of every token, an end
+    after each text, and tokens of each text."""
+    ws, number, off = encoded_words(texts, lower=True)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, [*ws, END]), np.uint64, len(ws) + 1)
+    order = np.argsort(h)
+    place = np.empty(len(h), np.int64)
+    place[order] = np.arange(len(h))
+    return h[order], place[np.insert(number, off[1:], len(ws))], np.diff(off) + 1
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    hashes, held, size, ns = WordHashes(), [], 0, []
+    """Distinct hashes and the number of every token, as ``_tokens`` has them, for about FLUSH tokens at a time."""
+    held, size = [], 0
+
+    def joined() -> tuple[np.ndarray, np.ndarray]:
+        h, place = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+        at = np.cumsum([0, *(len(x) for x, _ in held)])
+        return h, np.concatenate([place[a:][i] for a, (_, i) in zip(at.tolist(), held, strict=False)])
+
     for b in bounded(batches):
-        t, n = _tokens(b, hashes)
-        held.append(t)
-        ns.append(n)
-        size += len(t)
+        h, number, _ = _tokens(b.column("text"))
+        held.append((h, number))
+        size += len(number)
         if size >= FLUSH:
-            yield np.concatenate(held), np.concatenate(ns)
-            held, size, ns = [], 0, []
+            yield joined()
+            held, size = [], 0
     if held:
-        yield np.concatenate(held), np.concatenate(ns)
+        yield joined()
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for t, _ in _gather(batches):
-        h, c = np.unique(t, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+    for h, number in _gather(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.bincount(number, minlength=len(h)))], names=["h", "c"])
 
 
 def train(docs: DataFrame, order: int = 2) -> dict:
@@ -366,15 +372,14 @@ def train(docs: DataFrame, order: int = 2) -> dict:
 
     def count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level = Words(where, sizes)
-        for t, _ in _gather(batches):
-            h, inverse = np.unique(t, return_inverse=True)
+        for h, inverse in _gather(batches):
             ids, _ = level.look(h)
             end = int(np.searchsorted(h, _END_HASH))
             before = np.concatenate(([end], inverse[:-1]))  # the token before a document's first is the end of another: the same token
-            grams = [(before, inverse, np.full(len(t), NOTHING, np.int64))]
+            grams = [(before, inverse, np.full(len(inverse), NOTHING, np.int64))]
             if order == 3:
                 last = np.flatnonzero(inverse == end)
-                second = np.where(before == end, end, np.concatenate(([end, end], inverse[:-2]))[: len(t)])
+                second = np.where(before == end, end, np.concatenate(([end, end], inverse[:-2]))[: len(inverse)])
                 grams = [(before[last], inverse[last], np.full(len(last), NOTHING, np.int64)), (second, before, inverse)]
             a, b, x = (np.concatenate(k) for k in zip(*grams, strict=True))
             m = len(h) + 1
@@ -439,9 +444,8 @@ class Scorer:
         self.words = Words(model["where"], model["sizes"])
         self.grams = Grams(model, self.words.base)
 
-    def score(self, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """n_known, base score and score of texts of n tokens each, whose hashes t holds in order."""
-        h, inverse = np.unique(t, return_inverse=True)
+    def score(self, h: np.ndarray, inverse: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """n_known, base score and score of texts of n tokens each, from what ``_tokens`` gives."""
         ids, counts = self.words.look(h)
         p1 = (counts + 0.1) / (self.n + 0.1 * (self.v + 1))
         end = int(np.searchsorted(h, _END_HASH))
@@ -469,11 +473,11 @@ def score(docs: DataFrame, model: dict, keep: list[str]) -> DataFrame:
     ddl = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, hashes = None, WordHashes()
+        scorer = None
         for b in bounded(batches, 10 << 20):
             scorer = scorer or Scorer(model)
-            t, n = _tokens(b, hashes)
-            known, base, full = scorer.score(t, n)
+            h, inverse, n = _tokens(b.column(b.schema.get_field_index("text")))
+            known, base, full = scorer.score(h, inverse, n)
             cols = [b.column(b.schema.get_field_index(c)) for c in keep]
             yield pa.RecordBatch.from_arrays(
                 [*cols, pa.array(n), pa.array(known), pa.array(np.full(len(n), model["N"], np.int64)), pa.array(base), pa.array(full)],
