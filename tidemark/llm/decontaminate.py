@@ -32,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_rows, binaries, columns, hidden, shingles, small_batches, words
+from .common import WordHashes, batch_rows, columns, encoded_words, hidden, shingles, small_batches, words
 
 WIDTH = 5
 RADIUS, BLOCKS = 27, 8
@@ -179,12 +180,14 @@ def match_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, hashes = Index(shared.value), WordHashes()
+            index = Index(shared.value)
             arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64())]))
             for b in small_batches(batches, 128):
                 found = []
-                for t, old in zip(binaries(b.column(at)), b.column(b.num_columns - 1).to_pylist(), strict=True):
-                    best = index.find(hashes.of(words(t)))
+                ws, number, off = encoded_words(b.column(at), lower=True)
+                h = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))[number]
+                for first, last, old in zip(off[:-1], off[1:], b.column(b.num_columns - 1).to_pylist(), strict=True):
+                    best = index.find(h[first:last])
                     if old and (null := [x["similarity"] for x in old if x["item_id"] is None]) and None in best:
                         best[None] = max(best[None], *null)
                         old = [x for x in old if x["item_id"] is not None]

@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_rows, binaries, columns, cut, forget, mix64, shingles, small_batches, words
+from .common import batch_rows, columns, cut, encoded_words, forget, mix64, shingles, small_batches
 
 ROWS, BANDS = 4, 40
 PLACES = ROWS * BANDS
@@ -104,14 +104,16 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
-def _sets(texts: list[bytes | None], hashes: WordHashes) -> list[np.ndarray]:
-    return [np.unique(shingles(hashes.of(words(t)))) for t in texts]
+def _sets(texts: pa.Array) -> list[np.ndarray]:
+    """The distinct shingles of each text, ascending."""
+    ws, number, off = encoded_words(texts, lower=True)
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, ws), np.uint64, len(ws))[number]
+    return [np.unique(shingles(h[a:b])) for a, b in zip(off[:-1], off[1:], strict=True)]
 
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for b in small_batches(batches, 64):
-        sets = _sets(binaries(b.column("text")), hashes)
+        sets = _sets(b.column("text"))
         n = np.array([len(s) for s in sets], np.int64)
         sig = superminhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), len(sets))
         keys = band_keys(sig)
@@ -130,9 +132,8 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingle_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = WordHashes()
     for b in small_batches(batches, 64):
-        sets = _sets(binaries(b.column("text")), hashes)
+        sets = _sets(b.column("text"))
         off = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
         flat = np.concatenate(sets).view(np.int64) if sets else np.empty(0, np.int64)
         doc = np.repeat(np.arange(len(sets)), np.diff(off))
