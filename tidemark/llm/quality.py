@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns, cut, hidden, shared_dir
+from .common import columns, cut, hidden
 
 #: Space and the five ASCII controls that end a word, as a Java character class.
 _SPACE = r"[ \t-\r]"
@@ -152,13 +152,10 @@ def judge(docs: DataFrame, iterations: int = 40, keep_at: float = 0.5) -> DataFr
 
 
 def keep_good(docs: DataFrame, iterations: int = 40, keep_at: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns. Rows are written with their counts to the shared folder,
-    so that each text is counted once: the fit reads the counts alone, the verdicts all."""
-    spark = docs.sparkSession
+    """The rows of ``docs`` that are kept, with their columns. Rows are checkpointed with their counts, so that each text
+    is counted once; the checkpoint goes when the result is no longer referred to."""
     plain, back = hidden(docs, "text")
-    path = f"{shared_dir(spark)}/counted"
-    text_counts(plain.withColumn("text", F.col("text").cast("string"))).write.parquet(path)
-    counted = spark.read.parquet(path)
+    counted = cut(text_counts(plain.withColumn("text", F.col("text").cast("string"))))
     return back(score(counted, estimate(counted, iterations), keep_at).where("kept"))
 
 
