@@ -338,3 +338,14 @@ def test_ngram_keeps_rare_words_pairs_and_triples(docs, rows, monkeypatch):
     assert (model["V"], model["n_pairs"], model["n_triples"]) == (v, len(c2), len(c3)) and model["groups"] > ngram.GROUPS
     for r in ngram.score(docs, model, ["doc_id"]).collect():
         assert any(abs(r.score - x) < 5e-4 * r.n_tokens for x in want[r.doc_id, r.n_tokens])
+
+
+def test_shards_spread_equal_rows(spark, tmp_path):
+    df = spark.createDataFrame([(None, "same", "a")] * 3000 + [(i, f"t{i}", "b") for i in range(100)], "doc_id long, text string, source string").repartition(4)
+    got = collections.Counter((r.stratum, r.shard) for r in shards.shard_documents(df, 4).collect())
+    assert all(abs(got["=a", k] - 750) <= 1 and abs(got["=b", k] - 25) <= 1 for k in range(4))
+    odd = df.withColumn("crc", F.lit(1)).withColumn("k", F.lit(2)).withColumn("_1", F.lit(3))
+    shards.write_shards(odd, str(tmp_path / "out"), 4)
+    assert spark.read.parquet(str(tmp_path / "out")).drop("shard", "slot").exceptAll(odd).isEmpty()
+    with pytest.raises(ValueError):
+        shards.write_shards(df.withColumn("slot", F.lit(1)), str(tmp_path / "no"), 4)

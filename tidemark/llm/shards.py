@@ -24,6 +24,7 @@ from .common import columns, cut
 
 ROWS_A_BUCKET = 256
 MOST_BUCKETS = 1 << 16
+BLOCK = 1 << 10
 
 
 def _offsets(counts: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -39,20 +40,25 @@ def _offsets(counts: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def interleave(rows: DataFrame, n_shards: int, stratum: str, key: str, ties: list[str], seed: int = 17) -> DataFrame:
-    """Adds shard (int) and slot (long) to ``rows``; ``stratum`` must hold no nulls."""
+    """Adds shard (int) and slot (long) to ``rows``; ``stratum`` must hold no nulls. Equal rows are one
+    row with a count until they are placed, so that very many of them don't meet in one bucket."""
     if n_shards < 1:
         raise ValueError("n_shards must be positive")
-    total = rows.count()
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_c"))
+    total = rows.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
     buckets = min(MOST_BUCKETS, max(1, total // ROWS_A_BUCKET))
     rows = rows.withColumn("_h", F.xxhash64(F.lit(seed), F.col(key), *[F.col(t) for t in ties]))
     # the upper 52 bits as a fraction of 1
     unit = (F.shiftrightunsigned(F.col("_h"), 12) / F.lit(float(1 << 52))).cast("double")
     rows = rows.withColumn("_b", F.least(F.floor(unit * buckets), F.lit(buckets - 1)).cast("int"))
-    counts = rows.groupBy(stratum, "_b").agg(F.count(F.lit(1)).alias("n"))
+    counts = rows.groupBy(stratum, "_b").agg(F.sum("_c").alias("n"))
     sizes = counts.groupBy(stratum).agg(F.sum("n").alias("_size"))
     before = _offsets(counts, [stratum], "_b").join(sizes, stratum)
-    in_bucket = Window.partitionBy(stratum, "_b").orderBy(F.shiftrightunsigned(F.col("_h"), 12), key, *ties)
-    ranked = rows.withColumn("_i", F.row_number().over(in_bucket) - 1).join(before, [stratum, "_b"])
+    in_bucket = Window.partitionBy(stratum, "_b").orderBy(F.shiftrightunsigned(F.col("_h"), 12), key, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = rows.withColumn("_i", F.sum("_c").over(in_bucket) - F.col("_c")).join(before, [stratum, "_b"])
+    # the copies of a row, in blocks, so that no array grows with them
+    ranked = ranked.withColumn("_k", F.explode(F.expr(f"sequence(0L, (_c - 1) div {BLOCK})")) * BLOCK)
+    ranked = ranked.withColumn("_k", F.explode(F.expr(f"sequence(_k, least(_k + {BLOCK}, _c) - 1)"))).withColumn("_i", F.col("_i") + F.col("_k")).drop("_k", "_c")
     jitter = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.col(stratum)), 12) / F.lit(float(1 << 52))
     ranked = ranked.withColumn("_f", (F.col("before") + F.col("_i") + jitter) / F.col("_size"))
     ranked = ranked.withColumn("_g", F.least(F.floor(F.col("_f") * buckets), F.lit(buckets - 1)).cast("int")).drop("before", "_size", "_i", "_b")
@@ -82,15 +88,18 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, seed: int = 17) -> DataF
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8, seed: int = 17) -> None:
-    """Writes whole rows as Parquet under path/shard=k, in slot order inside each file."""
+    """Writes whole rows as Parquet under path/shard=k, in slot order inside each file; a column shard or slot is an error."""
+    if clash := {"shard", "slot"} & set(docs.columns):
+        raise ValueError(f"columns {sorted(clash)} are outputs")
+    names = docs.columns
     placed = shard_documents(docs, n_shards, seed).select("doc_id", "text_crc32", "shard", "slot")
-    whole = docs.withColumn("_crc", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    dup = Window.partitionBy("doc_id", "text_crc32").orderBy("slot")
-    placed = placed.withColumn("_k", F.row_number().over(dup))
-    mine = Window.partitionBy("doc_id", "_crc").orderBy(F.lit(0))
-    whole = whole.withColumn("_k", F.row_number().over(mine))
-    on = whole["doc_id"].eqNullSafe(placed["doc_id"]) & (whole["_crc"] == placed["text_crc32"]) & (whole["_k"] == placed["_k"])
-    out = whole.join(placed, on).select(*[whole[f"`{c}`"] for c in docs.columns if c not in ("shard", "slot")], placed["shard"], placed["slot"])
+    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    at = {c: f"_{names.index(c)}" for c in ("doc_id", "text")}
+    whole = plain.withColumn("crc", F.crc32(F.coalesce(F.col(at["text"]), F.lit("")).cast("binary")))
+    placed = placed.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "text_crc32").orderBy("slot")))
+    whole = whole.withColumn("k", F.row_number().over(Window.partitionBy(at["doc_id"], "crc").orderBy(F.lit(0))))
+    on = whole[at["doc_id"]].eqNullSafe(placed["doc_id"]) & (whole["crc"] == placed["text_crc32"]) & (whole["k"] == placed["k"])
+    out = whole.join(placed, on).select(*[whole[f"_{i}"].alias(c) for i, c in enumerate(names)], placed["shard"], placed["slot"])
     out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
