@@ -154,7 +154,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", part
     ddl = "part int, page_id bigint, host string, path string, _key string, _salt string, rule string, verdict string"
     left = keyed.select("page_id", "host", "path", "_key", "_salt").mapInArrow(deal, ddl)
     right = rules.select(F.col("rule").cast("string"), F.col("verdict").cast("string")).where("rule is not null").mapInArrow(deal_rules, ddl)
-    both = left.unionByName(right).repartition(n, "part").sortWithinPartitions("part", F.col("rule").isNull(), "_key", "_salt")
+    both = left.unionByName(right).repartitionById(n, "part").sortWithinPartitions("part", F.col("rule").isNull(), "_key", "_salt")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, rules_here, nodes = None, [], None
