@@ -22,14 +22,19 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns
+from .common import columns, cut
 
 _MASK = (1 << 40) - 1
 
 
+def _key() -> list[Column]:
+    """conv_id as a key without nulls."""
+    return [F.coalesce("conv_id", F.lit(0)).alias("_k"), F.col("conv_id").isNull().alias("_z")]
+
+
 def _totals(rows: DataFrame, order: list[str]) -> DataFrame:
     """Adds pos (1..), n (turns of the conversation), h1 and h2 (of the turns up to this one) to rows with the turns' own hashes."""
     whole = Window.partitionBy("conv_id")
@@ -49,10 +54,14 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     before = Window.partitionBy("conv_id").orderBy("turn", "role", "own1")
     same = [F.lag(c).over(before).eqNullSafe(F.col(c)) for c in ("turn", "role", "own1")]
     light = light.withColumn("tie", (F.col("pos") > 1) & same[0] & same[1] & ~same[2]).withColumn("tie", F.max("tie").over(Window.partitionBy("conv_id")))
-    tied = light.where("tie").select(F.coalesce("conv_id", F.lit(0)).alias("_k"), F.col("conv_id").isNull().alias("_z")).distinct()
-    heavy = own.withColumn("_k", F.coalesce("conv_id", F.lit(0))).withColumn("_z", F.col("conv_id").isNull()).join(tied, ["_k", "_z"], "left_semi")
     names = ["conv_id", "pos", "n", "h1", "h2"]
-    return light.where("not tie").select(*names).unionByName(_totals(heavy, ["turn", "role", "text"]).select(*names))
+    light = cut(light.select(*names, "tie"))
+    tied = light.where("tie").select(*_key()).distinct()
+    light = light.where("not tie").select(*names)
+    if tied.isEmpty():
+        return light
+    heavy = own.select("*", *_key()).join(tied, ["_k", "_z"], "left_semi")
+    return light.unionByName(_totals(heavy, ["turn", "role", "text"]).select(*names))
 
 
 def maximal(turns: DataFrame) -> DataFrame:
@@ -67,8 +76,7 @@ def render(turns: DataFrame, keep: DataFrame, start: str = "<|{role}|>\n", end:
     """conv_id, n_turns, copies and chat: the turns of each kept conversation in order, one string."""
     t = columns(turns, "conv_id", "turn", "role", "text")
     # a key without nulls, so that the join and the grouping share one exchange of the texts
-    keyed = lambda d: d.withColumn("_k", F.coalesce("conv_id", F.lit(0))).withColumn("_z", F.col("conv_id").isNull())
-    t = keyed(t).drop("conv_id").join(keyed(keep), ["_k", "_z"])
+    t = t.select("turn", "role", "text", *_key()).join(keep.select("*", *_key()), ["_k", "_z"])
     before, _, after = start.partition("{role}")
     piece = lambda x: F.concat(F.lit(before), F.coalesce(x["role"], F.lit("")), F.lit(after), F.coalesce(x["text"], F.lit("")), F.lit(end))
     rows = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))

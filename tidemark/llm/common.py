@@ -120,9 +120,11 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder name under ``spark.checkpoint.dir``; a temporary one is set only where it is unset."""
+    """A fresh folder name under ``spark.checkpoint.dir``; a temporary one is set only where it is unset on a local master."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
