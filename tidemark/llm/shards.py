@@ -57,7 +57,7 @@ def interleave(rows: DataFrame, n_shards: int, stratum: str, key: str, ties: lis
     in_bucket = Window.partitionBy(stratum, "_b").orderBy(F.shiftrightunsigned(F.col("_h"), 12), key, *ties).rowsBetween(Window.unboundedPreceding, 0)
     ranked = rows.withColumn("_i", F.sum("_c").over(in_bucket) - F.col("_c")).join(before, [stratum, "_b"])
     # the copies of a row, in blocks, so that no array grows with them
-    ranked = ranked.withColumn("_k", F.explode(F.expr(f"sequence(0L, (_c - 1) div {BLOCK})")) * BLOCK)
+    ranked = ranked.withColumn("_k", F.explode(F.expr(f"sequence(0L, (_c - 1) div {BLOCK})"))).withColumn("_k", F.col("_k") * BLOCK)
     ranked = ranked.withColumn("_k", F.explode(F.expr(f"sequence(_k, least(_k + {BLOCK}, _c) - 1)"))).withColumn("_i", F.col("_i") + F.col("_k")).drop("_k", "_c")
     jitter = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.col(stratum)), 12) / F.lit(float(1 << 52))
     ranked = ranked.withColumn("_f", (F.col("before") + F.col("_i") + jitter) / F.col("_size"))
