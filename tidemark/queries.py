@@ -11,6 +11,7 @@ from .functions import books
 from .operators import OPERATORS
 from .operators.bars import BARS
 from .operators.catalog import INPUTS
+from .plans import handwritten
 from .plans.emit import build_bars
 from .plans.spark import apply, flat, is_native, named
 from .plans.sql import query
@@ -192,6 +193,8 @@ def oracles() -> dict[str, str]:
     for n, op in OPERATORS.items():
         if is_native(flat(op.outputs())):
             out[f"ind_{snake(n)}"] = query(_source_sql(op.kind), n, "sym", "ts", out=output(n), digits=DIGITS)
+    for n, sql in handwritten.SQL.items():
+        out[f"ind_{snake(n)}"] = sql(_source_sql(OPERATORS[n].kind), output(n), DIGITS)
     out |= {f"ind_{snake(n)}": _book_sql(n) for n in books.BOOKS if n != "DepthSlope"}
     return out | {"bars_tick_bars": TICK_BARS_SQL}
 

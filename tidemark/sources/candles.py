@@ -33,8 +33,9 @@ def read_candles(spark: SparkSession, path: str, validate: bool = True) -> DataF
     """ts (long) and OHLCV of CSV files whose header has the six names, in any order and among others.
 
     Values are trimmed and a UTF-8 byte order mark is dropped; a value that is no number, or an invalid
-    candle where ``validate`` is set, fails the query."""
-    raw = spark.read.option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
+    candle where ``validate`` is set, fails the query. Files that are read together must have the same header: one
+    with other names, or in another order, fails the query."""
+    raw = spark.read.option("header", True).option("enforceSchema", False).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
     names = {c.removeprefix("﻿").strip(): c for c in raw.columns}
     if missing := [c for c in CSV_COLUMNS if c not in names]:
         raise ValueError(f"CSV header lacks {missing}")
