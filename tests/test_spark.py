@@ -87,6 +87,10 @@ def test_native_plan_has_no_python_and_one_exchange(frames):
     _, df = frames
     plan = apply(df, "MacdIndicator", key="sym", order=["ts", "seq"])._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Sort [") <= 6
+    # an average of an average: one sort for the rows, one for the blocks of each
+    plan = apply(df, "Dema", key="sym", order=["ts", "seq"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 3
 
 
 @pytest.mark.parametrize("name", KERNEL)

@@ -209,6 +209,8 @@ class Compiler:
         block = self.add(F.floor(k / size))
         at = k - block * size
         inside = Window.partitionBy(*self.keys, "_valid", block).orderBy(*self.order).rowsBetween(Window.unboundedPreceding, 0)
+        # blocks rise with the order, so that an order led by them is the same, and the sort that ``inside`` needs serves what follows
+        self.base = Window.partitionBy(*self.keys, "_valid").orderBy(block, *self.order)
         y = self.add(F.when(term.isNotNull(), F.sum(term * F.pow(F.lit(r), -at)).over(inside) * F.pow(F.lit(r), at)))
         before = F.last(F.when(at == size - 1, y), ignorenulls=True).over(self.base.rowsBetween(Window.unboundedPreceding, -1))
         return y + F.when(block > 0, F.coalesce(before, F.lit(0.0)) * F.pow(F.lit(r), at + 1)).otherwise(0.0)
