@@ -278,7 +278,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = cut(d.mapInArrow(_signed, "doc_id bigint, n bigint, digest binary, tkey bigint, short binary, bands array<bigint>"))
     full = signed.where("digest is not null and doc_id is not null")
     reps = cut(full.groupBy("digest").agg(F.min(F.struct("doc_id", "tkey")).alias("s"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("short").alias("short")).select("digest", F.col("s.doc_id").alias("rep"), F.col("s.tkey").alias("tkey"), "n", "bands", "short"))
-    banded = reps.select("rep", F.explode("bands").alias("key")).repartition("key")
+    banded = reps.select("rep", F.explode("bands").alias("key"))
+    # centres are combined before their shuffle and the join can be split, so a band that very many share is no single task's
     centres = banded.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("s")).where("c > 1")
     members = cut(banded.join(centres.select("key", F.col("s.rep").alias("centre")), "key"))
     votes = members.where("rep != centre").groupBy("rep", "centre").agg(F.count(F.lit(1)).alias("c"))
