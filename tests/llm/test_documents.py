@@ -349,3 +349,74 @@ def test_shards_spread_equal_rows(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).drop("shard", "slot").exceptAll(odd).isEmpty()
     with pytest.raises(ValueError):
         shards.write_shards(df.withColumn("slot", F.lit(1)), str(tmp_path / "no"), 4)
+
+
+def test_language_profiles_against_plain_sums(docs, rows):
+    """Prototypes and scores against vectors bound and summed window by window."""
+    p = language.Profiles()
+
+    def windows(text):
+        gap = 0
+        symbols = [gap]
+        for ch in text:
+            s = 0
+            if ch.isalpha():
+                low = ord(ch.lower()[0])
+                s = low if low < 512 else 512 + (low * 2654435761 >> 7) % (language.SYMBOLS - 512)
+            if s or symbols[-1]:
+                symbols.append(s)
+        if symbols[-1]:
+            symbols.append(gap)
+        return collections.Counter(zip(symbols, symbols[1:], symbols[2:]))  # noqa: B905
+
+    def bundle(text):
+        total = np.zeros(language.DIM)
+        for (a, b, c), n in windows(text).items():
+            total += n * (np.roll(p.letters[a], 2).astype(float) * np.roll(p.letters[b], 1) * p.letters[c])
+        return total
+
+    some = [r for r in rows if r[1] and any(c.isalpha() for c in r[1])]
+    want = {}
+    for r in some:
+        if r[2] is not None:
+            size = math.sqrt(sum(n * n for n in windows(r[1]).values()))
+            want[r[2]] = want.get(r[2], 0) + bundle(r[1]) / size
+    got = language.learn(docs)
+    assert set(got) == set(want)
+    for k, v in want.items():
+        assert np.allclose(got[k], v / np.linalg.norm(v), atol=1e-5)
+    found = {(r.doc_id, r.text): (r.lang_pred, r.score) for r in language.predict(docs.select("doc_id", "text"), got).collect()}
+    names = sorted(want)
+    for r in some:
+        v = bundle(r[1])
+        cos = [float(want[k] @ v / np.linalg.norm(want[k]) / np.linalg.norm(v)) for k in names]
+        assert found[r[0], r[1]][0] == names[int(np.argmax(cos))] and found[r[0], r[1]][1] == pytest.approx(max(0.0, max(cos)), abs=1e-4)
+
+
+def test_em_against_a_plain_loop(docs):
+    """Fitted parameters and posteriors against expectation-maximisation over the documents one by one."""
+    counted = quality.text_counts(docs.select("doc_id", "text")).cache()
+    votes = [list(r[0]) for r in counted.select(quality.votes()).collect()]
+    k, w = len(quality.RULES), quality.WEIGHT
+    pi, par = quality.PRIOR, {n: [x] * k for n, x in zip(("gn", "gp", "bn", "bp"), (*quality.GOOD, *quality.BAD), strict=True)}
+
+    def posterior(v):
+        llr = math.log(pi / (1 - pi))
+        for j, x in enumerate(v):
+            g, b = (par["gn"][j], par["bn"][j]) if x < 0 else (par["gp"][j], par["bp"][j]) if x > 0 else (1 - par["gn"][j] - par["gp"][j], 1 - par["bn"][j] - par["bp"][j])
+            llr += math.log(g / b)
+        return 1 / (1 + math.exp(-llr))
+
+    for _ in range(40):
+        p = [posterior(v) for v in votes]
+        share = lambda q, x, j, start: max(0.0005, 0.999 * (w * start + sum(a for a, v in zip(q, votes, strict=True) if v[j] == x)) / (w + sum(q)))
+        bad = [1 - a for a in p]
+        new = {"gn": (p, -1, quality.GOOD[0]), "gp": (p, 1, quality.GOOD[1]), "bn": (bad, -1, quality.BAD[0]), "bp": (bad, 1, quality.BAD[1])}
+        par = {n: [share(q, x, j, start) for j in range(k)] for n, (q, x, start) in new.items()}
+        pi = min(0.999, max(0.001, (w * quality.PRIOR + sum(p)) / (w + len(p))))
+    m = quality.estimate(counted)
+    assert m["pi"] == pytest.approx(pi, rel=1e-9)
+    for n in par:
+        assert m[n] == pytest.approx(par[n], rel=1e-9)
+    got = quality.score(counted, m).select("quality").collect()
+    assert sorted(r[0] for r in got) == pytest.approx(sorted(posterior(v) for v in votes), rel=1e-9)
