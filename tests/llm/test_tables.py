@@ -155,3 +155,41 @@ def test_chat_orders_ties_by_text(spark):
     kept = {r.conv_id: r.chat for r in chat.render(df, chat.maximal(df), "", "\n").collect()}
     # 1 and 2 begin 4; 5 begins 7's text but isn't its first turn; 6 and the nameless one have the null first
     assert kept == {3: "userb\n", 4: "usera\nuserb\nuserz\n", 5: "userq\n", 6: "user\nuserq\n", None: "a\nuserq\n", 7: "user" + "q" * 200_000 + "\n"}
+
+
+CONTRACT = {
+    "op2_quality_rules": "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, kept boolean",
+    "op3_stratified_shards": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op5_superminhash": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op6_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op8_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op9_byte_bpe": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op10_ngram_trie": "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACT))
+def test_queries_return_the_agreed_columns(spark, sf_dir, name):
+    """Names, kinds and plainly counted values of what the registered queries return."""
+    rows = fx.documents()
+    got = QUERIES[name](spark, sf_dir)
+    kinds = dict(got.dtypes)
+    assert {c.split()[0]: kinds.get(c.split()[0]) for c in CONTRACT[name].split(", ")} == dict(c.split() for c in CONTRACT[name].split(", "))
+    found = got.collect()
+    if name == "op2_quality_rules":
+        want = sorted(str((r[0], *fx.base_counts(r[1]))) for r in rows)
+        assert sorted(str((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words)) for r in found) == want
+        assert all(r.base_failed == (r.n_words < 50 or 100 * r.n_repeat_words > 50 * r.n_words) and not (r.kept and r.base_failed) for r in found)
+    if name == "op3_stratified_shards":
+        sizes = [sum(r.shard == k for r in found) for k in range(8)]
+        assert max(sizes) - min(sizes) <= 1 and all(sorted(r.slot for r in found if r.shard == k) == list(range(sizes[k])) for k in range(8))
+    if name == "op5_superminhash":
+        assert {r.doc_id: r.component_id for r in found if r.doc_id is not None} == fx.components(rows)
+        assert sorted(r.n_shingles for r in found) == sorted(len(set(fx.shingles(r[1]))) for r in rows)
+    if name in ("op8_language_id", "op10_ngram_trie"):
+        k, r0 = (3, 1) if name == "op8_language_id" else (10, 0)
+        assert all(r.held_out == (fx.fold(r.doc_id, k) == r0) for r in found)
+    if name == "op9_byte_bpe":
+        assert sorted(r.decoded_sha256 for r in found) == sorted(hashlib.sha256((r[1] or "").encode()).hexdigest() for r in rows)
+    if name == "op6_token_counts":
+        assert sorted(r.n_bytes for r in found) == sorted(len((r[1] or "").encode()) for r in rows) and all(r.over_limit == (r.n_tokens > 2048) for r in found)
