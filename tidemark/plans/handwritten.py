@@ -234,10 +234,36 @@ def _banded(n: int, start: dict[str, str], step: dict[str, str], outs: dict[str,
     return sql
 
 
+def _two_pole(n: int, name: str) -> tuple[dict[str, str], dict[str, str]]:
+    """States of a high-pass filter with two poles: its value and the one before."""
+    a = 0.707 * 2 * math.pi / n
+    k = (math.cos(a) + math.sin(a) - 1) / math.cos(a)
+    now = f"{(1 - k / 2) ** 2!r} * (b.x - 2 * b.x1 + b.x2) + {2 * (1 - k)!r} * p.{name} - {(1 - k) ** 2!r} * p.{name}b"
+    return {name: "0", f"{name}b": "0"}, {name: now, f"{name}b": f"p.{name}"}
+
+
+_BEFORE = ", lag(x) OVER o AS x1, lag(x, 2) OVER o AS x2"
+
+
+def _passed(outs: dict[str, str], *periods: int):
+    """Outputs from filters f0, f1, ...; the first two values have 0."""
+    begin, go = {}, {}
+    for j, n in enumerate(periods):
+        a, b = _two_pole(n, f"f{j}")
+        begin |= a
+        go |= b
+    return _steps(2, begin, go, {k: "coalesce(" + e.replace("f0", "coalesce(f0, 0)").replace("f1", "coalesce(f1, 0)") + ", 0)" for k, e in outs.items()}, also=_BEFORE)
+
+
+_K = 2 / 15
 _HI = "CASE WHEN (b.high + b.low) / 2 + 3 * {a} < p.hi OR p.close > p.hi THEN (b.high + b.low) / 2 + 3 * {a} ELSE p.hi END"
 _LO = "CASE WHEN (b.high + b.low) / 2 - 3 * {a} > p.lo OR p.close < p.lo THEN (b.high + b.low) / 2 - 3 * {a} ELSE p.lo END"
 _MACD = {"m": _from(26, f"{_ema('l', 12)} - {_ema('l', 26)}")}
-_K = {"k": "CASE WHEN i >= 14 THEN CASE WHEN max(high) OVER f = min(low) OVER f THEN 50.0 ELSE 100 * (close - min(low) OVER f) / (max(high) OVER f - min(low) OVER f) END END"}
+
+_ONE = "list_avg(list_transform(range(1, 60), lambda k: pow(w[k + 1] - w[k] - (w[60] - w[1]) / 59, 2)))"
+
+#: Pairs of places of 30 from which m values stay together, m of 2 being at hand for a third.
+_ALIKE = "list_sum(list_transform(range(2, 29), lambda j: list_sum(list_transform(range(1, j), lambda k: CASE WHEN list_max(list_transform(range(0, {m}), lambda t: abs(w[j + t] - w[k + t]))) <= 0.2 * list_aggregate(w, 'stddev_pop') THEN 1 ELSE 0 END))))"
 
 SQL = {
     "MedianAbsoluteDeviation": _lists(20, 20, "x", {"value": _MAD}),
@@ -280,6 +306,16 @@ SQL = {
     "TdSetup": _steps(5, {"k": "CASE WHEN close < l4 THEN 1 WHEN close > l4 THEN -1 ELSE 0 END"}, {"k": "CASE WHEN b.close < b.l4 THEN least(greatest(p.k, 0) + 1, 9) WHEN b.close > b.l4 THEN greatest(least(p.k, 0) - 1, -9) ELSE 0 END"}, {"value": "k"}, also=", lag(close, 4) OVER o AS l4"),
     "Nrtr": _steps(1, {"w": "close", "way": "1"}, {"w": "CASE WHEN p.way > 0 THEN (CASE WHEN b.close < greatest(p.w, b.close) * 0.98 THEN b.close ELSE greatest(p.w, b.close) END) ELSE (CASE WHEN b.close > least(p.w, b.close) * 1.02 THEN b.close ELSE least(p.w, b.close) END) END", "way": "CASE WHEN p.way > 0 THEN (CASE WHEN b.close < greatest(p.w, b.close) * 0.98 THEN -1 ELSE 1 END) ELSE (CASE WHEN b.close > least(p.w, b.close) * 1.02 THEN 1 ELSE -1 END) END"}, {"value": "w * (1 - 0.02 * way)", "direction": "way"}),
     "Evwma": _steps(20, {"y": "close"}, {"y": "CASE WHEN b.t > 0 THEN ((b.t - b.volume) * p.y + b.volume * b.close) / b.t ELSE p.y END"}, {"value": "y"}, also=", sum(volume) OVER (PARTITION BY sym ORDER BY ts ROWS 19 PRECEDING) AS t"),
+    "SampleEntropy": _lists(30, 30, "x", {"value": f"CASE WHEN list_max(w) = list_min(w) OR {_ALIKE.format(m=2)} = 0 THEN 0.0 WHEN {_ALIKE.format(m=3)} = 0 THEN ln({_ALIKE.format(m=2)}) ELSE -ln({_ALIKE.format(m=3)} / {_ALIKE.format(m=2)}) END"}),
+    "StochasticCci": _windows({"value": _from(27, "CASE WHEN list_max(l[-14:]) = list_min(l[-14:]) THEN 50.0 ELSE 100 * (k - list_min(l[-14:])) / (list_max(l[-14:]) - list_min(l[-14:])) END")}, {"w": "list((high + low + close) / 3) OVER (PARTITION BY sym ORDER BY ts ROWS 13 PRECEDING)"}, {"k": f"CASE WHEN i >= 14 THEN CASE WHEN list_avg(list_transform({_DEV}, lambda a: abs(a))) > 0 THEN (w[14] - list_avg(w)) / (0.015 * list_avg(list_transform({_DEV}, lambda a: abs(a)))) ELSE 0.0 END END"}, {"l": "list(k) OVER u"}),
+    "HeikinAshiOscillator": _steps(1, {"q": "(open + close) / 2"}, {"q": "(p.q + (p.open + p.high + p.low + p.close) / 4) / 2"}, {"value": _from(5, _ema("(list((open + high + low + close) / 4 - q) OVER (PARTITION BY sym ORDER BY ts ROWS UNBOUNDED PRECEDING))", 5))}),
+    "HighpassFilter": _passed({"value": "f0"}, 48),
+    "Decycler": _passed({"value": "x - f0"}, 60),
+    "DecyclerOscillator": _passed({"value": "f1 - f0"}, 10, 20),
+    "InstantaneousTrendline": _steps(6, {"y": "(x + 2 * x1 + x2) / 4", "yb": "(x1 + 2 * x2 + x3) / 4"}, {"y": f"{_K - _K * _K / 4!r} * b.x + {0.5 * _K * _K!r} * b.x1 - {_K - 0.75 * _K * _K!r} * b.x2 + {2 * (1 - _K)!r} * p.y - {(1 - _K) ** 2!r} * p.yb", "yb": "p.y"}, {"value": "CASE WHEN i < 6 THEN (x + 2 * coalesce(x1, x) + coalesce(x2, x)) / 4 ELSE y END"}, also=_BEFORE + ", lag(x, 3) OVER o AS x3"),
+    "VarianceRatio": _lists(60, 60, "x - y", {"value": f"CASE WHEN {_ONE} > 0 THEN list_avg(list_transform(range(1, 59), lambda k: pow(w[k + 2] - w[k] - 2 * (w[60] - w[1]) / 59, 2))) / (2 * {_ONE}) ELSE 1.0 END"}),
+    "VolatilityCone": _windows({k: _from(80, e) for k, e in {"current": "s", "min": "list_min(l[-60:])", "median": "list_aggregate(l[-60:], 'quantile_cont', 0.5)", "max": "list_max(l[-60:])", "percentile": "100.0 * len(list_filter(l[-60:], lambda q: q <= s)) / 60"}.items()}, {"r": "ln(x) - ln(lag(x) OVER o)"}, {"s": "CASE WHEN i >= 21 THEN stddev_samp(r) OVER (PARTITION BY sym ORDER BY ts ROWS 19 PRECEDING) END"}, {"l": "list(s) OVER u"}),
+    "SeasonalZScore": _windows({"value": "CASE WHEN sd > 0 THEN (r - m) / sd WHEN sd = 0 THEN 0.0 END"}, {"r": f"{_RET}", "hour": f"{_MINUTE} // 60"}, {"sd": "stddev_samp(r) OVER (PARTITION BY sym, hour ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", "m": "avg(r) OVER (PARTITION BY sym, hour ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"}),
     "Sma": _lists(14, 14, "x", {"value": "list_avg(w)"}),
     "Wma": _lists(14, 14, "x", {"value": _WEIGHTS}),
     "Ema": _windows({"value": _from(14, _ema("l", 14))}, _X),
@@ -320,3 +356,6 @@ SQL = {
     "IntradayVolatilityProfile": _profile(f"{_MINUTE} // 60", 24, _RET, "std", 2),
     "VolumeByTimeProfile": _profile(f"{_MINUTE} // 60", 24, "volume", "mean", 1),
 }
+
+#: Not one operator: the mean of five values of the relative strength index.
+CHAIN = _windows({"value": _from(19, "v")}, _DIFF, _GAIN, {"q": _from(15, f"100 * {_ema('g[2:]', 14, 1 / 14)} / ({_ema('g[2:]', 14, 1 / 14)} + {_ema('f[2:]', 14, 1 / 14)})")}, {"v": "avg(q) OVER (PARTITION BY sym ORDER BY ts ROWS 4 PRECEDING)"})

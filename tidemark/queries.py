@@ -195,6 +195,7 @@ def oracles() -> dict[str, str]:
             out[f"ind_{snake(n)}"] = query(_source_sql(op.kind), n, "sym", "ts", out=output(n), digits=DIGITS)
     for n, sql in handwritten.SQL.items():
         out[f"ind_{snake(n)}"] = sql(_source_sql(OPERATORS[n].kind), output(n), DIGITS)
+    out["shape_chain"] = handwritten.CHAIN(_source_sql("x"), "rsi_sma", DIGITS)
     out |= {f"ind_{snake(n)}": _book_sql(n) for n in books.BOOKS if n != "DepthSlope"}
     return out | {"bars_tick_bars": TICK_BARS_SQL}
 
