@@ -272,6 +272,35 @@ def test_decontamination_in_blocks(docs, rows, spark, monkeypatch):
     assert all(i in got[i] for i in range(6))
 
 
+def test_decontamination_fingerprints():
+    """Windows with and without repeats have the fingerprint of their ranked shingles; all pairs at the least similarity
+    are found; of other items, few are compared and none is within the radius."""
+    rng = np.random.default_rng(5)
+    for s in (rng.integers(0, 1 << 63, 200).astype(np.uint64), rng.integers(0, 30, 200).astype(np.uint64), np.zeros(50, np.uint64)):
+        starts = np.array([0, 1, 2, 17, len(s) - 20])
+        for a, f in zip(starts, decontaminate.Index.prints(s, starts, 20), strict=True):
+            assert (f == decontaminate.fingerprint(decontaminate.signs(decontaminate.ranked(s[a : a + 20])).sum(axis=0)[None, :])[0]).all()
+    one = lambda s: decontaminate.fingerprint(decontaminate.signs(decontaminate.ranked(s)).sum(axis=0)[None, :])[0]
+    pairs = []
+    for n, shared, heavy in [(4, 3, 0), (7, 6, 0), (14, 12, 0), (28, 24, 0), (28, 24, 4), (70, 60, 10)] * 60:  # heavy: copies of one shingle among those that differ
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64)
+        b = np.concatenate((a[:shared], rng.integers(0, 1 << 63, n - shared if n > 4 else 0).astype(np.uint64)))
+        if heavy:
+            a[shared : shared + heavy] = a[shared]
+        pairs.append((one(a), one(b)))
+    table = decontaminate.Prints(list(range(len(pairs))), np.array([f for f, _ in pairs]))
+    looked = [len(table.candidates(g)) / len(pairs) for _, g in pairs]
+    assert [table.near(g) for _, g in pairs] == [[k] for k in range(len(pairs))] and np.mean(looked) < 0.6
+    many = decontaminate.Prints(list(range(20000)), decontaminate.fingerprint(rng.normal(size=(20000, 256))))  # more values a block than changes
+    assert max(len(b[0]) for b in many.blocks) > len(decontaminate._CHANGES)
+    for k in range(50):
+        f = many.wide[k].copy()
+        f ^= np.packbits(rng.permutation(256) < 79).view(np.uint64)
+        f = f.view(np.uint16)
+        blocks = np.ascontiguousarray(many.wide).view(np.uint16)
+        assert many.near(f) == [k] and many.candidates(f).tolist() == np.flatnonzero((np.bitwise_count(blocks ^ f) <= 4).any(axis=1)).tolist()
+
+
 @pytest.mark.parametrize("n,universe", [(0, 10), (1, 1), (5, 5), (200, 100), (300, 1 << 58)])
 def test_elias_fano(n, universe):
     rng = np.random.default_rng(n)

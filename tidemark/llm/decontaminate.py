@@ -1,21 +1,23 @@
 """Benchmark decontamination by SimHash windows (operator 7).
 
-Every window of a document that is as long as some benchmark item gets a 64-bit SimHash of its
-weighted 5-word shingles (weight: occurrences in the window). Items are indexed by
-``BLOCKS`` blocks of their own SimHash: two fingerprints within ``RADIUS`` bits differ in at most
-RADIUS // BLOCKS bits in some block, so looking up each block with all such changes finds
-every item within the radius. Candidates are confirmed by the exact weighted Jaccard
-similarity of the shingles, 0.75 or more.
+Every window of a document that is as long as some benchmark item gets a 256-bit SimHash of its
+weighted 5-word shingles: of the pairs of a shingle and how many equal ones come before it, so that
+the weighted similarity is that of two sets. Items are indexed by ``BLOCKS`` blocks of their
+own SimHash: two fingerprints within ``RADIUS`` bits differ in at most RADIUS // BLOCKS bits in
+some block, so looking up each block with all such changes finds every item within the radius.
+Candidates are confirmed by the exact weighted Jaccard similarity of the shingles, 0.75 or more.
 
-At that similarity a SimHash bit differs with probability 0.172 at most, so 64 bits differ in 11
-on average; a radius of 27 leaves out less than one pair in a million.
+At that similarity a SimHash bit differs with a probability of 0.172 in long texts and 0.1875 at most (3 of 4
+shingles shared), so a radius of 79 leaves out 1.2 pairs in a million at most. A fingerprint of other text is
+within the radius with a probability of 5e-10; 64 bits and their radius of 27 let 13 % of them through.
 
 Windows that cannot reach the similarity get no fingerprint: the shared weight of a window with
 an item of L shingles must be at least 0.75 L, so fewer positions than that holding shingles of
 items of that length rule it out. That bound is exact.
 
-The items (stated queries) are sent to all tasks in blocks of at most ``BLOCK_BYTES`` of text;
-a larger benchmark makes more passes inside the same tasks. Documents are never shuffled.
+The items (stated queries) are sent to all tasks in blocks of about ``BLOCK_BYTES`` of text, one at a time: a larger
+benchmark makes more passes over the documents, with a checkpoint after each, so that a task and the driver hold
+one block only. Documents are never shuffled.
 
 Defined cases: an item without an item_id matches as any other, all such items counting as one with a null
 item_id, as items that share an item_id count as one; null or empty text: kept, no items; an item without words matches nothing; items or
@@ -36,25 +38,75 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, batch_rows, columns, encoded_words, hidden, shingles, small_batches, words
+from .common import WordHashes, batch_rows, columns, cut, encoded_words, hidden, ragged, shingles, small_batches, words
 
 WIDTH = 5
-RADIUS, BLOCKS = 27, 8
+BITS, RADIUS, BLOCKS = 256, 79, 16
 PERCENT = 75
+#: Windows whose sums are held at once.
+RUN = 4096
 BLOCK_BYTES = 16 << 20
-_BITS = np.arange(64, dtype=np.uint64)
-#: All changes of up to RADIUS // BLOCKS bits in a block of 8.
-_CHANGES = [sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in itertools.combinations(range(64 // BLOCKS), r)]
+#: All changes of up to RADIUS // BLOCKS bits in a block.
+_CHANGES = np.array([sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in itertools.combinations(range(BITS // BLOCKS), r)], np.uint16)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def signs(h: np.ndarray) -> np.ndarray:
-    """(n, 64) of +1/-1 from shingle hashes."""
-    return (((h[:, None] >> _BITS) & np.uint64(1)).astype(np.int32) << 1) - 1
+    """(n, BITS) of +1/-1 from hashes, by a generator that each hash seeds."""
+    wide = _mixed(h[:, None] + np.arange(1, BITS // 64 + 1, dtype=np.uint64) * _STEP)
+    return (np.unpackbits(wide.view(np.uint8), axis=1).astype(np.int32) << 1) - 1
 
 
 def fingerprint(sums: np.ndarray) -> np.ndarray:
-    """uint64 fingerprints of rows of 64 sums."""
-    return ((sums > 0).astype(np.uint64) << _BITS).sum(axis=1, dtype=np.uint64)
+    """(n, BLOCKS) uint16 fingerprints of rows of BITS sums."""
+    return np.packbits(sums > 0, axis=1).view(np.uint16)
+
+
+def ranked(s: np.ndarray) -> np.ndarray:
+    """Hashes of each shingle with the number of equal ones before it."""
+    order = np.argsort(s, kind="stable")
+    t = s[order]
+    first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+    before = np.arange(len(s)) - np.repeat(first, np.diff(np.append(first, len(s))))
+    out = s.copy()
+    out[order] = np.where(before > 0, _mixed(t + before.astype(np.uint64) * _STEP), t)
+    return out
+
+
+class Prints:
+    """Fingerprints of items, to be looked up by block."""
+
+    def __init__(self, items: list[int], prints: np.ndarray):
+        self.items, self.wide, self.blocks = np.array(items), np.ascontiguousarray(prints).view(np.uint64), []
+        for b in range(BLOCKS):
+            order = np.argsort(prints[:, b], kind="stable")
+            values, first = np.unique(prints[order, b], return_index=True)
+            self.blocks.append((values, np.append(first, len(order)), order))
+
+    def candidates(self, f: np.ndarray) -> np.ndarray:
+        """Rows that a block of f, with any of the changes, finds: by the changes, or by the values where these are fewer."""
+        found = np.zeros(len(self.items), bool)
+        for v, (values, first, order) in zip(f, self.blocks, strict=True):
+            if len(values) <= len(_CHANGES):
+                at = np.flatnonzero(np.bitwise_count(values ^ v) <= RADIUS // BLOCKS)
+            else:
+                changed = _CHANGES ^ v
+                at = np.searchsorted(values, changed)
+                at[at == len(values)] = 0
+                at = at[values[at] == changed]
+            found[order[ragged(first[at], first[at + 1] - first[at])]] = True
+        return np.flatnonzero(found)
+
+    def near(self, f: np.ndarray) -> list[int]:
+        """Items within the radius of f."""
+        rows = self.candidates(f)
+        return self.items[rows[np.bitwise_count(self.wide[rows] ^ f.view(np.uint64)).sum(axis=1) <= RADIUS]].tolist()
 
 
 class Index:
@@ -62,42 +114,33 @@ class Index:
 
     def __init__(self, items: list[tuple[int | None, bytes]]):
         hashes = WordHashes()
-        self.items, self.by_length = [], defaultdict(lambda: defaultdict(list))
+        self.items, by_length = [], defaultdict(list)
         seen, lengths = [], []
         for item, text in items:
             h = hashes.of(words(text))
             if not len(h):
                 continue
             s = shingles(h, WIDTH)
-            k = len(self.items)
+            by_length[len(h)].append((len(self.items), fingerprint(signs(ranked(s)).sum(axis=0)[None, :])))
             self.items.append((item, Counter(s.tolist()), len(s)))
             seen.append(s)
             lengths.append(len(h))
-            f = int(fingerprint(signs(s).sum(axis=0)[None, :])[0])
-            for block in range(BLOCKS):
-                self.by_length[len(h)][(block, f >> (8 * block) & 255)].append((k, f))
+        self.by_length = {n: Prints([k for k, _ in own], np.concatenate([f for _, f in own])) for n, own in by_length.items()}
         self.lengths = sorted(self.by_length)
         self.shingles = np.unique(np.concatenate(seen)) if seen else np.empty(0, np.uint64)
         #: Which window lengths have an item with the shingle.
         self.of_length = np.zeros((len(self.shingles), len(self.lengths)), bool)
         for length, s in zip(lengths, seen, strict=True):
             self.of_length[np.searchsorted(self.shingles, s), self.lengths.index(length)] = True
-        self.found: dict[tuple[int, int], set[int]] = {}
+        self.found: dict[tuple[int, bytes], list[int]] = {}
 
-    def near(self, length: int, f: int) -> set[int]:
+    def near(self, length: int, f: np.ndarray) -> list[int]:
         """Items of that length within the radius of a fingerprint."""
-        if (got := self.found.get((length, f))) is not None:
+        if (got := self.found.get((length, f.tobytes()))) is not None:
             return got
-        table, out = self.by_length[length], set()
-        for block in range(BLOCKS):
-            v = f >> (8 * block) & 255
-            for c in _CHANGES:
-                for k, g in table.get((block, v ^ c), ()):
-                    if (f ^ g).bit_count() <= RADIUS:
-                        out.add(k)
         if len(self.found) > 100_000:
             self.found.clear()
-        self.found[length, f] = out
+        out = self.found[length, f.tobytes()] = self.by_length[length].near(f)
         return out
 
     def ids(self, s: np.ndarray) -> np.ndarray:
@@ -142,11 +185,9 @@ class Index:
         starts = np.flatnonzero(total[size:] - total[:-size] >= need)
         if not len(starts):
             return
-        for run in np.split(starts, np.flatnonzero(np.diff(starts) > size) + 1):
-            lo, hi = run[0], run[-1] + size
-            cum = np.concatenate((np.zeros((1, 64), np.int64), np.cumsum(signs(s[lo:hi]), axis=0)))
-            prints = fingerprint(cum[run - lo + size] - cum[run - lo])
-            for at, f in zip(run.tolist(), prints.tolist(), strict=True):
+        far = np.diff(starts) > size
+        for run in (part[k : k + RUN] for part in np.split(starts, np.flatnonzero(far) + 1) for k in range(0, len(part), RUN)):
+            for at, f in zip(run.tolist(), self.prints(s[run[0] : run[-1] + size], run - run[0], size), strict=True):
                 if near := self.near(length, f):
                     mine = Counter(s[at : at + size].tolist())
                     for k in near:
@@ -156,6 +197,23 @@ class Index:
                             best[item] = max(best.get(item, 0.0), both / (size + weight - both))
 
 
+    @staticmethod
+    def prints(s: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        """Fingerprints of the windows of ``size`` shingles at ``starts``: differences of running sums where no
+        shingle repeats, each on its own elsewhere."""
+        total = np.concatenate((np.zeros((1, BITS), np.int32), np.cumsum(signs(s), axis=0, dtype=np.int32)))
+        out = fingerprint(total[starts + size] - total[starts])
+        order = np.argsort(s, kind="stable")
+        again = np.flatnonzero(s[order][1:] == s[order][:-1])
+        if len(again):
+            after = np.full(len(s), len(s) + size)
+            after[order[again]] = order[again + 1]
+            soonest = np.minimum.accumulate(after[::-1])[::-1]  # where a shingle that begins the window or follows comes again
+            for k in np.flatnonzero(soonest[starts] < starts + size):
+                out[k] = fingerprint(signs(ranked(s[starts[k] : starts[k] + size])).sum(axis=0)[None, :])[0]
+        return out
+
+
 def shingles_of(h: np.ndarray, length: int) -> np.ndarray:
     """Whole-sequence hashes of every window of fewer than five words."""
     return np.concatenate([shingles(h[i : i + length], WIDTH) for i in range(len(h) - length + 1)])
@@ -196,6 +254,9 @@ def match_items(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(found, arrow)], names=b.schema.names)
 
         out = out.mapInArrow(run, ddl)
+        if k < blocks - 1:
+            out = cut(out)
+            shared.destroy()
     return out.toDF(*own, "_items")
 
 
