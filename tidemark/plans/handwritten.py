@@ -265,6 +265,11 @@ _ONE = "list_avg(list_transform(range(1, 60), lambda k: pow(w[k + 1] - w[k] - (w
 #: Pairs of places of 30 from which m values stay together, m of 2 being at hand for a third.
 _ALIKE = "list_sum(list_transform(range(2, 29), lambda j: list_sum(list_transform(range(1, j), lambda k: CASE WHEN list_max(list_transform(range(0, {m}), lambda t: abs(w[j + t] - w[k + t]))) <= 0.2 * list_aggregate(w, 'stddev_pop') THEN 1 ELSE 0 END))))"
 
+_PSAR = (
+    {"sar": "low", "ep": "high", "ph": "high", "pl": "low", "up": "1", "af": "0.02"},
+    {"sar": _sar("p.ep", _SAR_UP, "p.ep", _SAR_DOWN), "ep": _sar("b.low", "greatest(p.ep, b.high)", "b.high", "least(p.ep, b.low)"), "ph": "b.high", "pl": "b.low", "up": _sar("-1", "1", "1", "-1"), "af": _sar("0.02", "CASE WHEN b.high > p.ep THEN least(p.af + 0.02, 0.2) ELSE p.af END", "0.02", "CASE WHEN b.low < p.ep THEN least(p.af + 0.02, 0.2) ELSE p.af END")},
+)
+
 SQL = {
     "MedianAbsoluteDeviation": _lists(20, 20, "x", {"value": _MAD}),
     "MedianChannel": _lists(20, 20, "x", {"upper": f"{_median('w')} + 2 * {_MAD}", "middle": _median("w"), "lower": f"{_median('w')} - 2 * {_MAD}"}),
@@ -343,7 +348,7 @@ SQL = {
     "SuperTrend": _banded(10, {"hi": "(high + low) / 2 + 3 * {a}", "lo": "(high + low) / 2 - 3 * {a}", "way": "1"}, {"hi": _HI, "lo": _LO, "way": f"CASE WHEN p.way < 0 THEN (CASE WHEN b.close <= {_HI} THEN -1 ELSE 1 END) ELSE (CASE WHEN b.close >= {_LO} THEN 1 ELSE -1 END) END"}, {"value": "CASE WHEN way > 0 THEN lo WHEN way < 0 THEN hi END", "direction": "way"}),
     "AtrTrailingStop": _banded(14, {"s": "close - 3 * {a}"}, {"s": "CASE WHEN b.close > p.s THEN (CASE WHEN p.close > p.s THEN greatest(b.close - 3 * {a}, p.s) ELSE b.close - 3 * {a} END) WHEN b.close < p.s AND p.close < p.s THEN least(b.close + 3 * {a}, p.s) ELSE b.close + 3 * {a} END"}, {"value": "s"}),
     "VoltyStop": _banded(14, {"e": "close", "up": "1"}, {"e": "CASE WHEN p.up > 0 THEN (CASE WHEN b.close < p.e - 2 * {a} THEN b.close ELSE greatest(p.e, b.close) END) ELSE (CASE WHEN b.close > p.e + 2 * {a} THEN b.close ELSE least(p.e, b.close) END) END", "up": "CASE WHEN p.up > 0 THEN (CASE WHEN b.close < p.e - 2 * {a} THEN -1 ELSE 1 END) ELSE (CASE WHEN b.close > p.e + 2 * {a} THEN 1 ELSE -1 END) END"}, {"value": "e - 2 * a * up"}),
-    "Psar": _steps(1, {"sar": "low", "ep": "high", "ph": "high", "pl": "low", "up": "1", "af": "0.02"}, {"sar": _sar("p.ep", _SAR_UP, "p.ep", _SAR_DOWN), "ep": _sar("b.low", "greatest(p.ep, b.high)", "b.high", "least(p.ep, b.low)"), "ph": "b.high", "pl": "b.low", "up": _sar("-1", "1", "1", "-1"), "af": _sar("0.02", "CASE WHEN b.high > p.ep THEN least(p.af + 0.02, 0.2) ELSE p.af END", "0.02", "CASE WHEN b.low < p.ep THEN least(p.af + 0.02, 0.2) ELSE p.af END")}, {"value": "CASE WHEN i > 1 THEN sar END"}),
+    "Psar": _steps(1, *_PSAR, {"value": "CASE WHEN i > 1 THEN sar END"}),
     "Kama": _steps(11, {"y": "far + k * (x - far)"}, {"y": "p.y + b.k * (b.x - p.y)"}, {"value": "y"}, source="SELECT *, pow(CASE WHEN m > 0 THEN abs(x - far) / m ELSE 0.0 END * (2.0 / 3 - 2.0 / 31) + 2.0 / 31, 2) AS k FROM (SELECT *, sum(d) OVER (PARTITION BY sym ORDER BY ts ROWS 9 PRECEDING) AS m, lag(x, 10) OVER (PARTITION BY sym ORDER BY ts) AS far FROM (SELECT *, abs(x - lag(x) OVER (PARTITION BY sym ORDER BY ts)) AS d FROM ({source}) s) s) s"),
     "SessionVwap": _session({"value": "sum((high + low + close) / 3 * volume) OVER d / sum(volume) OVER d"}),
     "SessionHighLow": _session({"high": "max(high) OVER d", "low": "min(low) OVER d"}),
@@ -357,5 +362,283 @@ SQL = {
     "VolumeByTimeProfile": _profile(f"{_MINUTE} // 60", 24, "volume", "mean", 1),
 }
 
+
+def _staged(*stages: dict[str, str]) -> str:
+    """A source with columns of window functions, stage after stage; rn: the row's number."""
+    named = "WINDOW o AS (PARTITION BY sym ORDER BY ts), u AS (PARTITION BY sym ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+    sql = f"SELECT *, row_number() OVER o AS rn FROM ({{source}}) s {named}"
+    for cols in stages:
+        sql = f"SELECT *, {', '.join(f'{e} AS {n}' for n, e in cols.items())} FROM ({sql}) s {named}"
+    return sql
+
+
+def _after(outs: dict[str, str], first: int, start: dict[str, str], step: dict[str, str], *stages: dict[str, str], also: str = "", source: str = "{source}"):
+    """As _windows, but over the states that _steps carries."""
+
+    def sql(base: str, out: str, digits: int) -> str:
+        carried = _steps(first, start, step, {"value": "0"}, also=also, source=source)(base, out, digits).rsplit("\nSELECT", 1)[0]
+        named = "WINDOW o AS (PARTITION BY sym ORDER BY ts), u AS (PARTITION BY sym ORDER BY ts ROWS UNBOUNDED PRECEDING)"
+        at = "e"
+        for k, cols in enumerate(stages):
+            carried += f",\nd{k} AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in cols.items())} FROM {at} {named})"
+            at = f"d{k}"
+        return carried + "\n" + _final(outs, out, at, digits)
+
+    return sql
+
+
+def _high_passed(gain: float, decay: float, n: int) -> tuple[dict[str, str], dict[str, str]]:
+    """States: h, a high-pass filter with one pole, and y, its smoothed value."""
+    c1, c2, c3 = _smoother(n)
+    h = f"({gain!r} * (b.x - p.x) + {decay!r} * p.h)"
+    return {"h": "0", "y": "0", "yb": "0"}, {"h": h, "y": f"CASE WHEN b.i = 2 THEN {h} ELSE {c1!r} * ({h} + p.h) / 2 + {c2!r} * p.y + {c3!r} * p.yb END", "yb": "p.y"}
+
+
+def _roof() -> tuple[float, float]:
+    a = 2 * math.pi / 48
+    k = (math.cos(a) + math.sin(a) - 1) / math.cos(a)
+    return 1 - k / 2, 1 - k
+
+
+_EVEN = (1 - math.sin(2 * math.pi / 40)) / math.cos(2 * math.pi / 40)
+
+
+def _rows(n: int, end: int = 0) -> str:
+    """The n rows that end ``end`` rows ago."""
+    return f"OVER (PARTITION BY sym ORDER BY ts ROWS BETWEEN {n + end - 1} PRECEDING AND {end or 'CURRENT'} {'PRECEDING' if end else 'ROW'})"
+
+
+def _stochastic(now: str, end: int) -> str:
+    hi, lo = f"max(y) {_rows(20, end)}", f"min(y) {_rows(20, end)}"
+    return f"CASE WHEN {hi} > {lo} THEN 2 * ({now} - {lo}) / ({hi} - {lo}) - 1 ELSE 0 END"
+
+
+def _flex(s: str):
+    c1, c2, c3 = _smoother(20)
+    return _after(
+        {"value": "CASE WHEN ms > 0 THEN s / sqrt(ms) WHEN i >= 21 THEN 0.0 END"}, 2, {"y": "x", "yb": "x1"}, {"y": f"{c1!r} * (b.x + p.x) / 2 + {c2!r} * p.y + {c3!r} * p.yb", "yb": "p.y"},
+        {"f": "coalesce(y, x)"}, {"s": f"CASE WHEN i >= 21 THEN {s} END"}, {"ms": "CASE WHEN i >= 21 THEN list_reduce((list(s) OVER u)[21:], lambda a, q: 0.96 * a + 0.04 * q * q, 0.0) END"}, also=", lag(x) OVER o AS x1",
+    )
+
+
+def _band_pass(angle: float, n: int) -> dict[str, str]:
+    g = 1 / math.cos(angle)
+    a = g - math.sqrt(g * g - 1)
+    return {"y": f"{0.5 * (1 - a)!r} * (b.x - b.x2) + {math.cos(2 * math.pi / n) * (1 + a)!r} * p.y - {a!r} * p.yb", "yb": "p.y"}
+
+
+_CHANGES = {"d": "x - lag(x) OVER o"}
+_FAST, _SLOW = 2 / 3, 2 / 31
+
+
+def _paced(value: str, n: int) -> dict[str, str]:
+    """k: the pace of an average that follows the efficiency of n changes."""
+    return {"k": f"pow(CASE WHEN sum(abs(d)) {_rows(n)} > 0 THEN abs({value} - lag({value}, {n}) OVER o) / sum(abs(d)) {_rows(n)} ELSE 0 END * {_FAST - _SLOW!r} + {_SLOW!r}, 2)"}
+
+
+def _turn(first: int, long: str, short: str, up: str, down: str, start_way: str = "1", make=None, source: str = "{source}"):
+    """A stop that ratchets on one side of the close and changes sides when the close passes it."""
+    begin = {"s": long.replace("b.", ""), "way": start_way}
+    go = {
+        "s": f"CASE WHEN p.way > 0 THEN (CASE WHEN b.close < {up} THEN {short} ELSE {up} END) ELSE (CASE WHEN b.close > {down} THEN {long} ELSE {down} END) END",
+        "way": f"CASE WHEN p.way > 0 THEN (CASE WHEN b.close < {up} THEN -1 ELSE 1 END) ELSE (CASE WHEN b.close > {down} THEN 1 ELSE -1 END) END",
+    }
+    outs = {"value": "s", "direction": "way"}
+    return make(first, begin, go, outs) if make else _steps(first, begin, go, outs, source=source)
+
+
+_ELDER = _staged(
+    {"dn": "greatest(lag(low) OVER o - low, 0)", "up": "greatest(high - lag(high) OVER o, 0)"},
+    {"lo": f"low - 2 * coalesce(sum(dn) {_rows(14)} / nullif(count(*) FILTER (dn > 0) {_rows(14)}, 0), 0)", "hi": f"high + 2 * coalesce(sum(up) {_rows(14)} / nullif(count(*) FILTER (up > 0) {_rows(14)}, 0), 0)"},
+)
+_KASE = _staged({"d": "greatest(high, lag(high) OVER o) - least(low, lag(low) OVER o)"}, {"w": f"avg(d) {_rows(30)} + stddev_samp(d) {_rows(30)}"})
+_KASE_UP, _KASE_DOWN = "greatest(p.s, greatest(p.m, b.high) - b.w)", "least(p.s, least(p.m, b.low) + b.w)"
+_WILDER = {"l": "list(close) OVER u"}
+
+
+def _setup_way(k: str, below: str = "9") -> str:
+    return f"CASE WHEN {k} >= {below} THEN 1 WHEN {k} <= -{below} THEN -1 ELSE 0 END"
+
+
+def _countdown(also: str, outs: dict[str, str]):
+    """k: the setup's count; way: the side of the last full one; n: rows that qualified since."""
+    k = "(CASE WHEN b.close < b.l4 THEN least(greatest(p.k, 0) + 1, 9) WHEN b.close > b.l4 THEN greatest(least(p.k, 0) - 1, -9) ELSE 0 END)"
+    done = f"({_setup_way(k)})"
+    way = f"(CASE WHEN {done} != 0 THEN {done} ELSE p.way END)"
+    n = f"(CASE WHEN {done} != 0 AND {done} != p.way THEN 0 ELSE p.n END)"
+    ok = f"(CASE WHEN {way} > 0 THEN b.close <= b.low2{also.format('b.low <= p.low AND b.close < p.close')} WHEN {way} < 0 THEN b.close >= b.high2{also.format('b.high >= p.high AND b.close > p.close')} ELSE false END)"
+    return _steps(5, {"k": "sign(l4 - close)", "way": "0", "n": "0"}, {"k": k, "way": way, "n": f"CASE WHEN {ok} AND {n} < 13 THEN {n} + 1 ELSE {n} END"}, outs, also=", lag(close, 4) OVER o AS l4, lag(low, 2) OVER o AS low2, lag(high, 2) OVER o AS high2")
+
+
+def _levels(names: tuple[str, str], buy: tuple[str, str], sell: tuple[str, str]):
+    """m: the extreme row of a run below (b) or above (s) the close four rows before; its level counts at the ninth row.
+    Each of buy and sell: (whether the row replaces the extreme, the row's level)."""
+    w = "sign(b.l4 - b.close)"
+    same = f"(p.k * {w} > 0)"
+    k = f"(CASE WHEN {w} = 0 THEN 0 ELSE {w} * least(CASE WHEN {same} THEN abs(p.k) ELSE 0 END + 1, 9) END)"
+    e = f"CASE WHEN {w} = 0 THEN NULL WHEN {w} > 0 THEN (CASE WHEN {same} AND NOT ({buy[0]}) THEN p.{{0}} ELSE {{1}} END) ELSE (CASE WHEN {same} AND NOT ({sell[0]}) THEN p.{{0}} ELSE {{2}} END) END"
+    m, q = e.format("m", buy[2], sell[2]), e.format("q", buy[1], sell[1])
+    b0 = lambda z: z.replace("b.", "")
+    start = {"k": "sign(l4 - close)", "m": b0(f"CASE WHEN {w} > 0 THEN {buy[2]} WHEN {w} < 0 THEN {sell[2]} END"), "q": b0(f"CASE WHEN {w} > 0 THEN {buy[1]} WHEN {w} < 0 THEN {sell[1]} END"), "buy": "NULL", "sell": "NULL"}
+    go = {"k": k, "m": m, "q": q, "buy": f"CASE WHEN {k} = 9 THEN ({q}) ELSE p.buy END", "sell": f"CASE WHEN {k} = -9 THEN ({q}) ELSE p.sell END"}
+    return _steps(5, start, go, {names[0]: "buy", names[1]: "sell"}, source=_staged({"l4": "lag(close, 4) OVER o", "tr": _TR["tr"]}))
+
+
+def _touched(n: int, bins: int, share: str, outs: dict[str, str]):
+    """z: the weight of every price bin that n bars touch; a, b: lowest and highest price; t: a bin's width."""
+    place = lambda side: f"list_transform({side}, lambda q: least({bins - 1}, greatest(0, floor((q - a) / ((b - a) / {bins})))))"
+    inside = f"list_transform(range(0, {bins}), lambda g: list_sum(list_transform(range(1, {n + 1}), lambda k: CASE WHEN fs[k] <= g AND g <= ts_[k] THEN {share} ELSE 0.0 END)))"
+    return _windows(
+        {k: f"CASE WHEN i >= {n} THEN {e} END" if not e.startswith("list") else f"list_transform(CASE WHEN i >= {n} THEN {e} END, lambda q: q)" for k, e in outs.items()},
+        {"hs": f"list(high) {_rows(n)}", "ls": f"list(low) {_rows(n)}", "vs": f"list(volume) {_rows(n)}"}, {"a": "list_min(ls)", "b": "list_max(hs)"},
+        {"t": f"(b - a) / {bins}", "fs": place("ls"), "ts_": place("hs")}, {"z": f"CASE WHEN b > a AND i >= {n} THEN {inside} END"},
+    )
+
+
+_VOLUME = "vs[k] / (ts_[k] - fs[k] + 1)"
+
+
+def _slope(points: str) -> str:
+    """Least-squares slope through a list of (x, y)."""
+    mx, my = f"list_avg(list_transform({points}, lambda q: q[1]))", f"list_avg(list_transform({points}, lambda q: q[2]))"
+    return f"list_sum(list_transform({points}, lambda q: (q[1] - {mx}) * (q[2] - {my}))) / list_sum(list_transform({points}, lambda q: pow(q[1] - {mx}, 2)))"
+
+
+_PARTS = [(k, j) for k in range(1, 5) for j in range(k)]
+
+
+def _part(k: int, j: int) -> str:
+    return f"w[{j * (100 // k) + 1}:{(j + 1) * (100 // k)}]"
+
+
+_HURST = (
+    {f"p{k}{j}": f"list_transform({_part(k, j)}, lambda q: q - list_avg({_part(k, j)}))" for k, j in _PARTS},
+    {f"z{k}{j}": f"list_transform(range(1, {100 // k + 1}), lambda g: list_sum(p{k}{j}[1:g]))" for k, j in _PARTS},
+    {f"r{k}": "list_avg(list_filter([" + ", ".join(f"(list_max(z{k}{j}) - list_min(z{k}{j})) / nullif(list_aggregate(p{k}{j}, 'stddev_pop'), 0)" for j in range(k)) + "], lambda q: q > 0))" for k in range(1, 5)},
+    {"pts": "list_filter([" + ", ".join(f"[ln({100 // k}), ln(r{k})]" for k in range(1, 5)) + "], lambda q: q[2] IS NOT NULL)"},
+)
+_WP, _ZP = "w[11:30]", "z[11 + k:30 + k]"
+_CO = "list_sum(list_transform(range(1, 21), lambda m: ({0}[m] - list_avg({0})) * ({1}[m] - list_avg({1}))))"
+_LEAD = f"list_transform(range(-10, 11), lambda k: CASE WHEN {_CO.format(_WP, _WP)} * {_CO.format(_ZP, _ZP)} > 0 THEN {_CO.format(_WP, _ZP)} / sqrt({_CO.format(_WP, _WP)} * {_CO.format(_ZP, _ZP)}) ELSE 0.0 END)"
+_RW = "list_max(list_transform(range(2, 15), lambda k: greatest(0.0, {0} / nullif(list_avg(rs[16 - k:14]) * sqrt(k), 0))))"
+
+
+def _strength(g: str, f: str, n: int) -> str:
+    """The relative strength index of n from lists of gains and losses."""
+    up, down = _ema(g, n, 1 / n), _ema(f, n, 1 / n)
+    return f"CASE WHEN {up} + {down} = 0 THEN 50.0 ELSE 100 * {up} / ({up} + {down}) END"
+
+
+def _cascade(z: str, name: str, prior: str) -> tuple[dict[str, str], str]:
+    """Three pairs of filters, each fed by the one before; prior: where their last values are, or empty for 0."""
+    a = 3 / 16
+    last = lambda j: f"{prior}{name}{j}" if prior else "0"
+    cols = {}
+    for j in (0, 2, 4):
+        cols[f"{name}{j}"] = f"({1 - a!r} * {last(j)} + {a!r} * {z})"
+        cols[f"{name}{j + 1}"] = f"({a!r} * {cols[f'{name}{j}']} + {1 - a!r} * {last(j + 1)})"
+        z = f"(1.5 * {cols[f'{name}{j}']} - 0.5 * {cols[f'{name}{j + 1}']})"
+    return cols, z
+
+
+_RSX = {"value": "CASE WHEN i >= 15 THEN CASE WHEN 1.5 * m4 - 0.5 * m5 > 0 THEN least(100, greatest(0, ((1.5 * s4 - 0.5 * s5) / (1.5 * m4 - 0.5 * m5) + 1) * 50)) ELSE 50.0 END END"}
+_QL = "(CASE WHEN p.r > p.lo AND b.r > p.lo THEN greatest(b.r - b.w, p.lo) ELSE b.r - b.w END)"
+_QH = "(CASE WHEN p.r < p.hi AND b.r < p.hi THEN least(b.r + b.w, p.hi) ELSE b.r + b.w END)"
+_QQE = _staged(
+    _DIFF, _GAIN, {"q": f"CASE WHEN rn >= 15 THEN {_strength('g[2:]', 'f[2:]', 14)} END"}, {"qs": "list(q) OVER u"}, {"r": f"CASE WHEN rn >= 19 THEN {_ema('qs[15:]', 5)} END"},
+    {"m": "abs(r - lag(r) OVER o)"}, {"ms": "list(m) OVER u"}, {"e": f"CASE WHEN rn >= 46 THEN {_ema('ms[20:]', 27)} END"}, {"es": "list(e) OVER u"}, {"w": f"CASE WHEN rn >= 72 THEN 4.236 * {_ema('es[46:]', 27)} END"},
+)
+_DM = "(CASE WHEN b.dm > p.dm THEN 1 WHEN b.dm < p.dm THEN -1 ELSE p.way END)"
+_DEPTHS = "list_transform(list_filter(range(2, 21), lambda k: d[k] > 0 AND d[k - 1] = 0), lambda k: list_max(d[k:coalesce(list_min(list_filter(range(k, 21), lambda m: d[m] = 0)), 21) - 1]))"
+
+
+def _grown(of, state: str):
+    """Without rounding from 2^33 on, where neighbouring doubles are more than a millionth apart and DuckDB's round() adds an error."""
+
+    def sql(source: str, out: str, digits: int) -> str:
+        rounded = f"round(CAST({state} AS DOUBLE), {digits})"
+        return of(source, out, digits).replace(rounded, f"CASE WHEN abs({state}) < 8589934592 THEN {rounded} ELSE {state} END")
+
+    return sql
+
+
+def _month_turn(source: str, out: str, digits: int) -> str:
+    date = "DATE '1970-01-01' + CAST(day AS INTEGER)"
+    return (
+        f"WITH {_base(source)},\nd AS (SELECT sym, {_DAY} AS day, arg_max(close, ts) AS x FROM c GROUP BY 1, 2),\n"
+        f"e AS (SELECT *, x / lag(x) OVER (PARTITION BY sym ORDER BY day) - 1 AS r, day({date}) <= 3 OR last_day({date}) = {date} AS t FROM d),\n"
+        "f AS (SELECT *, avg(r) FILTER (t) OVER (PARTITION BY sym ORDER BY day ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS v FROM e),\n"
+        f"h AS (SELECT c.sym, c.ts, f.v FROM c JOIN f ON c.sym = f.sym AND {_DAY.replace('ts', 'c.ts')} = f.day)\n"
+    ) + _final({"value": "v"}, out, "h", digits)
+
+
+_HEIKIN = _staged({f"l{k}": f"list({k}) OVER u" for k in ("open", "high", "low", "close")}, {f"e{k}": f"CASE WHEN rn >= 5 THEN {_ema(f'l{k}', 5)} END" for k in ("open", "high", "low", "close")})
+_MEAN4 = "(eopen + ehigh + elow + eclose) / 4"
+
+SQL |= {
+    "Nvi": _grown(_steps(1, {"y": "1000"}, {"y": "CASE WHEN p.close != 0 AND b.volume < p.volume THEN p.y + p.y * (b.close - p.close) / p.close ELSE p.y END"}, {"value": "y"}), "y"),
+    "AverageDrawdown": _windows({"value": _from(20, f"coalesce(list_avg({_DEPTHS}), 0.0)")}, {"w": f"list(x) {_rows(20)}"}, {"d": _LEVEL}),
+    "FryPanBottom": _lists(9, 9, "close", {"value": "CASE WHEN list_position(w, list_min(w)) BETWEEN 3 AND 7 AND w[9] > w[1] AND w[9] > list_min(w) THEN 1.0 ELSE 0.0 END"}),
+    "DumplingTop": _lists(9, 9, "close", {"value": "CASE WHEN list_position(w, list_max(w)) BETWEEN 3 AND 7 AND w[9] < w[1] AND w[9] < list_max(w) THEN -1.0 ELSE 0.0 END"}),
+    "Frama": _steps(16, {"y": "x"}, {"y": "p.y + b.k * (b.x - p.y)"}, {"value": "y"}, source=_staged(
+        {"r8": f"(max(x) {_rows(8)} - min(x) {_rows(8)}) / 8", "r16": f"(max(x) {_rows(16)} - min(x) {_rows(16)}) / 16"}, {"o8": "lag(r8, 8) OVER o"},
+        {"k": "CASE WHEN r8 > 0 AND o8 > 0 AND r16 > 0 THEN least(1, greatest(0.01, exp(-4.6 * (log2(r8 + o8) - log2(r16) - 1)))) ELSE 0.01 END"})),
+    "Vidya": _steps(10, {"y": "x"}, {"y": "p.y + b.k * (b.x - p.y)"}, {"value": "y"}, source=_staged(_CHANGES, {"k": f"CASE WHEN sum(abs(d)) {_rows(9)} > 0 THEN abs(sum(d) {_rows(9)}) / sum(abs(d)) {_rows(9)} ELSE 0 END * 2 / 15"})),
+    "CyberneticCycle": _steps(2, {"y": "(x - x1) / 2", "yb": "0"}, {"y": f"{(1 - _K / 2) ** 2!r} * (b.s - 2 * b.s1 + b.s2) + {2 * (1 - _K)!r} * p.y - {(1 - _K) ** 2!r} * p.yb", "yb": "p.y"}, {"value": "coalesce(y, 0)"}, source=_staged(
+        {"x1": "lag(x) OVER o", "s": "coalesce((x + 2 * lag(x) OVER o + 2 * lag(x, 2) OVER o + lag(x, 3) OVER o) / 6, x)"}, {"s1": "lag(s) OVER o", "s2": "lag(s, 2) OVER o"})),
+    "BandpassFilter": _steps(2, {"y": "0", "yb": "0"}, _band_pass(4 * math.pi * 0.3 / 20, 20), {"value": "coalesce(y, 0)"}, also=_BEFORE),
+    "RoofingFilter": _steps(1, *_high_passed(*_roof(), 10), {"value": "y"}),
+    "EhlersStochastic": _after({"value": "CASE WHEN i = 20 THEN k WHEN i > 20 THEN (k + kb) / 2 END"}, 1, *_high_passed(*_roof(), 10), {"k": _stochastic("y", 0), "kb": _stochastic("lag(y) OVER o", 1)}),
+    "EvenBetterSinewave": _after({"value": _from(3, "CASE WHEN q > 0 THEN least(1, greatest(-1, m / sqrt(q))) ELSE 0.0 END")}, 1, *_high_passed((1 + _EVEN) / 2, _EVEN, 10), {"m": f"avg(y) {_rows(3)}", "q": f"avg(y * y) {_rows(3)}"}),
+    "Trendflex": _flex("f - avg(f) " + _rows(20, 1)),
+    "Reflex": _flex("f - avg(f) " + _rows(20, 1) + " + (lag(f, 20) OVER o - f) / 20 * 10.5"),
+    "UniversalOscillator": (lambda y: _steps(3, {"y": "v", "yb": "v", "k": "abs(v)"}, {"y": y, "yb": "p.y", "k": f"greatest(abs({y}), 0.991 * p.k)"}, {"value": "CASE WHEN k > 0 THEN least(1, greatest(-1, y / k)) WHEN k = 0 THEN 0.0 END"}, also=", (x - lag(x, 2) OVER o) / 2 AS v"))(
+        "(CASE WHEN b.i = 4 THEN b.v ELSE {!r} * (b.v + p.v) / 2 + {!r} * p.y + {!r} * p.yb END)".format(*_smoother(20))),
+    "AdaptiveRsi": _steps(15, {"a": "m", "z": "n"}, {"a": "p.a + b.k * (greatest(b.d, 0) - p.a)", "z": "p.z + b.k * (greatest(-b.d, 0) - p.z)"}, {"value": "CASE WHEN a + z > 0 THEN 100 * a / (a + z) WHEN a + z = 0 THEN 50.0 END"},
+        source=_staged(_CHANGES, {"m": f"avg(greatest(d, 0)) {_rows(14)}", "n": f"avg(greatest(-d, 0)) {_rows(14)}"} | _paced("x", 14))),
+    "AdaptiveCci": _after({"value": _from(20, "coalesce((tp - a) / nullif(0.015 * list_avg(list_transform(w, lambda q: abs(q - a))), 0), 0.0)")}, 20, {"a": "m"}, {"a": "p.a + b.k * (b.tp - p.a)"},
+        source=_staged({"tp": "(high + low + close) / 3"}, {"d": "tp - lag(tp) OVER o", "m": f"avg(tp) {_rows(20)}", "w": f"list(tp) {_rows(20)}"}, _paced("tp", 19))),
+    "ElderSafeZone": _turn(15, "b.lo", "b.hi", "greatest(p.s, b.lo)", "least(p.s, b.hi)", source=_ELDER),
+    "AtrRatchet": _turn(14, "b.close - 4 * {a}", "b.close + 4 * {a}", "(p.s + 0.1 * {a})", "(p.s - 0.1 * {a})", make=_banded),
+    "ModifiedMaStop": _turn(14, "b.m", "b.m", "greatest(p.s, b.m)", "least(p.s, b.m)", "CASE WHEN close >= m THEN 1 ELSE -1 END", source=_staged(_WILDER, {"m": f"CASE WHEN rn >= 14 THEN {_ema('l', 14, 1 / 14)} END"})),
+    "KaseDevStop": _steps(31, {"m": "high", "s": "high - w", "way": "1"}, {
+        "m": f"CASE WHEN p.way > 0 THEN (CASE WHEN b.close < {_KASE_UP} THEN b.low ELSE greatest(p.m, b.high) END) ELSE (CASE WHEN b.close > {_KASE_DOWN} THEN b.high ELSE least(p.m, b.low) END) END",
+        "s": f"CASE WHEN p.way > 0 THEN (CASE WHEN b.close < {_KASE_UP} THEN b.low + b.w ELSE {_KASE_UP} END) ELSE (CASE WHEN b.close > {_KASE_DOWN} THEN b.high - b.w ELSE {_KASE_DOWN} END) END",
+        "way": f"CASE WHEN p.way > 0 THEN (CASE WHEN b.close < {_KASE_UP} THEN -1 ELSE 1 END) ELSE (CASE WHEN b.close > {_KASE_DOWN} THEN 1 ELSE -1 END) END"}, {"value": "s", "direction": "way"}, source=_KASE),
+    "YoyoExit": _banded(14, {"t": "close - 2 * {a}", "held": "1"}, {"t": "CASE WHEN p.held > 0 THEN (CASE WHEN b.close < p.t THEN p.t ELSE greatest(p.t, b.close - 2 * {a}) END) WHEN b.close > p.t + 2 * {a} THEN b.close - 2 * {a} ELSE p.t END",
+        "held": "CASE WHEN p.held > 0 THEN (CASE WHEN b.close < p.t THEN 0 ELSE 1 END) WHEN b.close > p.t + 2 * {a} THEN 1 ELSE 0 END"}, {"value": "t"}),
+    "RenkoTrailingStop": _steps(1, {"a": "x", "up": "1"}, {"a": "CASE WHEN p.up > 0 THEN (CASE WHEN b.x < p.a - 1 THEN b.x ELSE p.a + greatest(0, floor(b.x - p.a)) END) ELSE (CASE WHEN b.x > p.a + 1 THEN b.x ELSE p.a - greatest(0, floor(p.a - b.x)) END) END",
+        "up": "CASE WHEN p.up > 0 THEN (CASE WHEN b.x < p.a - 1 THEN -1 ELSE 1 END) ELSE (CASE WHEN b.x > p.a + 1 THEN 1 ELSE -1 END) END"}, {"value": "a - up"}),
+    "SarExt": _steps(1, *_PSAR, {"value": "CASE WHEN i > 1 THEN sar * up END"}),
+    "TurnOfMonth": _month_turn,
+    "TdCountdown": _countdown("", {"value": "n * way"}),
+    "TdSequential": _countdown("", {"setup": "k", "countdown": "n * way", "direction": "way"}),
+    "TdCombo": _countdown(" AND {}", {"value": "n * way"}),
+    "TdLines": _levels(("resistance", "support"), ("b.high > p.m", "b.high", "b.high"), ("b.low < p.m", "b.low", "b.low")),
+    "TdRiskLevel": _levels(("buy_risk", "sell_risk"), ("p.m > b.low", "b.low - b.tr", "b.low"), ("p.m < b.high", "b.high + b.tr", "b.high")),
+    "SmoothedHeikinAshi": _steps(5, {"q": "(eopen + eclose) / 2"}, {"q": "(p.q + (p.eopen + p.ehigh + p.elow + p.eclose) / 4) / 2"},
+        {"open": "q", "high": f"CASE WHEN i >= 5 THEN greatest(ehigh, q, {_MEAN4}) END", "low": f"CASE WHEN i >= 5 THEN least(elow, q, {_MEAN4}) END", "close": _MEAN4}, source=_HEIKIN),
+    "HurstExponent": _windows({"value": _from(100, f"CASE WHEN len(pts) < 2 THEN 0.5 ELSE least(1, greatest(0, {_slope('pts')})) END")}, {"w": f"list(x) {_rows(100)}"}, *_HURST),
+    "SpreadHurst": _windows({"value": _from(60, f"CASE WHEN len(pts) < 2 THEN 0.5 ELSE least(1, greatest(0, {_slope('pts')} / 2)) END")}, {"w": f"list(x - y) {_rows(60)}"},
+        {"v": "list_transform(range(1, 16), lambda k: list_avg(list_transform(range(1, 61 - k), lambda m: pow(w[m + k] - w[m], 2))))"}, {"pts": "list_transform(list_filter(range(1, 16), lambda k: v[k] > 0), lambda k: [ln(k), ln(v[k])])"}),
+    "LeadLagCrossCorrelation": _windows({"lag": _from(40, "j - 11"), "correlation": _from(40, "r[j]")}, {"w": f"list(x) {_rows(40)}", "z": f"list(y) {_rows(40)}"}, {"r": f"CASE WHEN i >= 40 THEN {_LEAD} END"},
+        {"j": "list_position(list_transform(r, lambda q: abs(q)), list_max(list_transform(r, lambda q: abs(q))))"}),
+    "Rwi": _windows({"high": _from(14, "coalesce(" + _RW.format("(hs[14] - ls[15 - k])") + ", 0)"), "low": _from(14, "coalesce(" + _RW.format("(hs[15 - k] - ls[14])") + ", 0)")}, _TR, {"hs": f"list(high) {_rows(14)}", "ls": f"list(low) {_rows(14)}", "rs": f"list(tr) {_rows(14)}"}),
+    "Kvo": _after({"value": _from(56, f"{_ema('l[2:]', 34)} - {_ema('l[2:]', 55)}")}, 2, {"way": "sign(dm - lag_dm)", "t": "lag_dm + dm"}, {"way": _DM, "t": f"CASE WHEN {_DM} = p.way AND p.way != 0 THEN p.t + b.dm ELSE p.dm + b.dm END"},
+        {"f": "CASE WHEN t != 0 THEN volume * abs(2 * (dm / t - 1)) * way * 100 ELSE 0 END"}, {"l": "list(f) OVER u"}, source=_staged({"dm": "high + low + close"}, {"lag_dm": "lag(dm) OVER o"})),
+    "Qqe": _steps(72, {"lo": "r - w", "hi": "r + w", "up": "1"}, {"lo": _QL, "hi": _QH, "up": "CASE WHEN b.r > p.hi THEN 1 WHEN b.r < p.lo THEN 0 ELSE p.up END"}, {"rsi_ma": _from(72, "r"), "trailing_line": "CASE WHEN up > 0 THEN lo ELSE hi END"}, source=_QQE),
+    "ConnorsRsi": _after({"value": _from(101, f"({_strength('g[2:]', 'f[2:]', 3)} + {_strength('kg[3:]', 'kf[3:]', 2)} + 100.0 * len(list_filter(w, lambda q: q < w[100])) / 100) / 3")}, 2, {"k": "sign(x - x1)"},
+        {"k": "CASE WHEN b.x > p.x THEN greatest(p.k, 0) + 1 WHEN b.x < p.x THEN least(p.k, 0) - 1 ELSE 0 END"}, {"d": "x - lag(x) OVER o", "e": "k - lag(k) OVER o", "r": "CASE WHEN x1 != 0 THEN 100 * (x - x1) / x1 ELSE 0 END"},
+        _GAIN | {"kg": "list(greatest(e, 0)) OVER u", "kf": "list(greatest(-e, 0)) OVER u", "w": f"list(r) {_rows(100)}"}, also=", lag(x) OVER o AS x1"),
+    "DynamicMomentumIndex": _windows({"value": _from(31, "CASE WHEN list_sum(list_transform(w[31 - k:], lambda q: abs(q))) > 0 THEN 100 * list_sum(list_transform(w[31 - k:], lambda q: greatest(q, 0))) / list_sum(list_transform(w[31 - k:], lambda q: abs(q))) ELSE 50.0 END")},
+        {"sd": f"stddev_pop(x) {_rows(5)}", "d": "x - lag(x) OVER o"}, {"av": "avg(sd) OVER (PARTITION BY sym, i >= 5 ORDER BY ts ROWS 9 PRECEDING)", "w": f"list(d) {_rows(30)}"}, {"k": "CAST(CASE WHEN sd > 0 AND av > 0 THEN least(30, greatest(5, round(14 * av / sd))) ELSE 30 END AS INTEGER)"}),
+    "Rsx": _steps(2, _cascade("d", "s", "")[0] | _cascade("abs(d)", "m", "")[0], _cascade("b.d", "s", "p.")[0] | _cascade("abs(b.d)", "m", "p.")[0], _RSX, also=", x - lag(x) OVER o AS d"),
+    "VolumeProfile": _touched(20, 50, _VOLUME, {"price_low": "a", "price_high": "b", "bins": "list_transform(range(1, 51), lambda g: CASE WHEN z IS NULL THEN CASE WHEN g = 1 THEN list_sum(vs) ELSE 0.0 END ELSE z[g] END)"}),
+    "TpoProfile": _touched(30, 50, "1.0", {"price_low": "a", "price_high": "b", "counts": "list_transform(range(1, 51), lambda g: CASE WHEN z IS NULL THEN CASE WHEN g = 1 THEN 30.0 ELSE 0.0 END ELSE z[g] END)"}),
+    "SinglePrints": _touched(20, 24, "1.0", {"value": "CASE WHEN z IS NULL THEN 0.0 ELSE len(list_filter(z, lambda q: q = 1)) END"}),
+    "ProfileShape": _touched(20, 24, _VOLUME, {"value": "CASE WHEN z IS NULL OR list_position(z, list_max(z)) <= 8 THEN -1.0 WHEN list_position(z, list_max(z)) > 16 THEN 1.0 ELSE 0.0 END"}),
+    "HighLowVolumeNodes": _touched(20, 24, _VOLUME, {"hvn": "CASE WHEN z IS NULL THEN a ELSE a + (list_position(z, list_max(z)) - 0.5) * t END", "lvn": "CASE WHEN z IS NULL THEN a ELSE a + (list_position(z, list_min(list_filter(z, lambda q: q > 0))) - 0.5) * t END"}),
+}
+
 #: Not one operator: the mean of five values of the relative strength index.
 CHAIN = _windows({"value": _from(19, "v")}, _DIFF, _GAIN, {"q": _from(15, f"100 * {_ema('g[2:]', 14, 1 / 14)} / ({_ema('g[2:]', 14, 1 / 14)} + {_ema('f[2:]', 14, 1 / 14)})")}, {"v": "avg(q) OVER (PARTITION BY sym ORDER BY ts ROWS 4 PRECEDING)"})
