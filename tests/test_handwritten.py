@@ -32,6 +32,19 @@ def test_same_values(spark, con, name):
             assert a == b or a == pytest.approx(b, abs=2e-6, rel=1e-12), (k, r, expected[k])
 
 
+@pytest.mark.parametrize("name", [*(f"bars_{queries.snake(n)}" for n in handwritten.BARS), "bars_tick_bars", "ind_depth_slope", "ind_order_flow_imbalance"])
+def test_same_bars_and_books(spark, con, name):
+    want = con.sql(queries.oracles()[name])
+    got = queries.QUERIES[name](spark, SF)
+    assert sorted(got.columns) == sorted(want.columns)
+    places = [want.columns.index(c) for c in ("sym", "ts", "bar") if c in want.columns]
+    by = lambda rows: sorted(rows, key=lambda r: [r[i] for i in places])
+    rows, expected = by([tuple(r[c] for c in want.columns) for r in got.collect()]), by(want.fetchall())
+    assert len(rows) == len(expected) > 0
+    for a, b in zip(rows, expected, strict=True):
+        assert all(x == y or x == pytest.approx(y, abs=2e-6, rel=1e-12) for x, y in zip(a, b, strict=True)), (a, b)
+
+
 @pytest.mark.parametrize(
     "name, params",
     [

@@ -640,5 +640,82 @@ SQL |= {
     "HighLowVolumeNodes": _touched(20, 24, _VOLUME, {"hvn": "CASE WHEN z IS NULL THEN a ELSE a + (list_position(z, list_max(z)) - 0.5) * t END", "lvn": "CASE WHEN z IS NULL THEN a ELSE a + (list_position(z, list_min(list_filter(z, lambda q: q > 0))) - 0.5) * t END"}),
 }
 
+
+def _bars(first: dict[str, str], step: dict[str, str], fields: dict[str, str], also: str = ""):
+    """Bars of which a row closes one at most; done: whether it does."""
+
+    def sql(source: str) -> str:
+        carried = _steps(1, first | {"done": first.get("done", "0")}, step, {"value": "0"}, also=also)(source, "q", 6).rsplit("\nSELECT", 1)[0]
+        return carried + f"\nSELECT sym, ts, CAST(0 AS INTEGER) AS bar, {', '.join(f'{e} AS {k}' for k, e in fields.items())} FROM e WHERE done > 0"
+
+    return sql
+
+
+def _gathered(first: dict[str, str], step: dict[str, str], fields: dict[str, str], also: str = ""):
+    ohlc = {"bo": "CASE WHEN p.done > 0 THEN b.open ELSE p.bo END", "bh": "CASE WHEN p.done > 0 THEN b.high ELSE greatest(p.bh, b.high) END", "bl": "CASE WHEN p.done > 0 THEN b.low ELSE least(p.bl, b.low) END"}
+    return _bars({"bo": "open", "bh": "high", "bl": "low"} | first, ohlc | step, {"open": "bo", "high": "bh", "low": "bl", "close": "close"} | fields, also)
+
+
+def _kept(state: str, when: str = "p.done > 0") -> str:
+    return f"(CASE WHEN {when} THEN 0 ELSE p.{state} END)"
+
+
+_SIGN = ", coalesce(sign(close - lag(close) OVER o), 0) AS g"
+_THETA = f"({_kept('theta')} + (CASE WHEN b.g != 0 THEN b.g ELSE p.sg END))"
+_RUN_ON = f"(b.g = 0 OR b.g = {_kept('sg')})"
+_RUN_K = f"(CASE WHEN {_RUN_ON} THEN {_kept('k')} + CASE WHEN {_kept('sg')} != 0 THEN 1 ELSE 0 END ELSE 1 END)"
+_RUN_SIGN = f"(CASE WHEN {_RUN_ON} THEN {_kept('sg')} ELSE b.g END)"
+_BACK = "(p.way != 0 AND (p.far - b.close) * p.way >= 20)"
+_BOX = "floor(b.close / 20) * 20"
+_FLIP = f"((p.way > 0 AND {_BOX} <= p.tp - 60) OR (p.way < 0 AND {_BOX} >= p.lw + 60))"
+_LINE = "(CASE WHEN p.d = 0 THEN b.close != p.c1 WHEN (b.close - p.c1) * p.d > 0 THEN true WHEN p.d > 0 THEN b.close < least(p.o1, p.o2, p.o3, p.c1, p.c2, p.c3) ELSE b.close > greatest(p.o1, p.o2, p.o3, p.c1, p.c2, p.c3) END)"
+
+
+def _line(new: str, old: str) -> str:
+    return f"CASE WHEN {_LINE} THEN {new} ELSE p.{old} END"
+
+
+def _footprint(source: str) -> str:
+    bucket = "floor({0}.price / 50) * 50"
+    return (
+        f"WITH c AS ({source}),\nf AS (SELECT a.sym, a.ts, {bucket.format('b')} AS price, sum(CASE WHEN b.side > 0 THEN 0.0 ELSE b.size END) AS bid_volume, sum(CASE WHEN b.side > 0 THEN b.size ELSE 0.0 END) AS ask_volume\n"
+        f"FROM c a JOIN c b ON a.sym = b.sym AND b.ts <= a.ts GROUP BY a.sym, a.ts, {bucket.format('b')})\n"
+        "SELECT sym, ts, CAST(row_number() OVER (PARTITION BY sym, ts ORDER BY price) - 1 AS INTEGER) AS bar, price, bid_volume, ask_volume FROM f"
+    )
+
+
+#: Bars with the sizes of the driver's queries, as functions of their source.
+BARS = {
+    "VolumeBars": _gathered({"bv": "volume", "done": "volume >= 50"}, {"bv": f"{_kept('bv')} + b.volume", "done": f"{_kept('bv')} + b.volume >= 50"}, {"volume": "bv"}),
+    "DollarBars": _gathered(
+        {"bv": "volume", "bd": "close * volume", "done": "close * volume >= 2000"}, {"bv": f"{_kept('bv')} + b.volume", "bd": f"{_kept('bd')} + b.close * b.volume", "done": f"{_kept('bd')} + b.close * b.volume >= 2000"}, {"volume": "bv", "dollar": "bd"}
+    ),
+    "ImbalanceBars": _gathered({"sg": "0", "theta": "0"}, {"sg": "CASE WHEN b.g != 0 THEN b.g ELSE p.sg END", "theta": _THETA, "done": f"abs({_THETA}) >= 5"}, {"imbalance": "theta", "direction": "sign(theta)"}, _SIGN),
+    "RunBars": _gathered({"sg": "0", "k": "0"}, {"sg": _RUN_SIGN, "k": _RUN_K, "done": f"{_RUN_SIGN} != 0 AND {_RUN_K} >= 3"}, {"length": "k", "direction": "sg"}, _SIGN),
+    "KagiBars": _bars(
+        {"st": "close", "far": "close", "way": "0", "es": "0", "ee": "0"},
+        {
+            "st": f"CASE WHEN {_BACK} THEN p.far ELSE p.st END", "far": f"CASE WHEN p.way = 0 OR {_BACK} OR (b.close - p.far) * p.way > 0 THEN b.close ELSE p.far END",
+            "way": f"CASE WHEN p.way = 0 THEN sign(b.close - p.far) WHEN {_BACK} THEN -p.way ELSE p.way END", "es": "p.st", "ee": "p.far", "done": _BACK,
+        },
+        {"start": "es", '"end"': "ee", "direction": "-way"},
+    ),
+    "PointAndFigureBars": _bars(
+        {"tp": "floor(close / 20) * 20", "lw": "floor(close / 20) * 20", "way": "0", "et": "0", "el": "0"},
+        {
+            "tp": f"CASE WHEN p.way = 0 AND {_BOX} >= p.tp + 20 OR p.way > 0 AND {_BOX} > p.tp THEN {_BOX} WHEN {_FLIP} AND p.way > 0 THEN p.tp - 20 WHEN {_FLIP} THEN {_BOX} ELSE p.tp END",
+            "lw": f"CASE WHEN p.way = 0 AND {_BOX} <= p.lw - 20 OR p.way < 0 AND {_BOX} < p.lw THEN {_BOX} WHEN {_FLIP} AND p.way < 0 THEN p.lw + 20 WHEN {_FLIP} THEN {_BOX} ELSE p.lw END",
+            "way": f"CASE WHEN p.way = 0 THEN (CASE WHEN {_BOX} >= p.tp + 20 THEN 1 WHEN {_BOX} <= p.lw - 20 THEN -1 ELSE 0 END) WHEN {_FLIP} THEN -p.way ELSE p.way END", "et": "p.tp", "el": "p.lw", "done": _FLIP,
+        },
+        {"direction": "-way", "high": "et", "low": "el"},
+    ),
+    "ThreeLineBreakBars": _bars(
+        {"o1": "NULL", "c1": "close", "o2": "NULL", "c2": "NULL", "o3": "NULL", "c3": "NULL", "d": "0"},
+        {"o1": _line("p.c1", "o1"), "c1": _line("b.close", "c1"), "o2": _line("p.o1", "o2"), "c2": _line("p.c1", "c2"), "o3": _line("p.o2", "o3"), "c3": _line("p.c2", "c3"), "d": _line("sign(b.close - p.c1)", "d"), "done": _LINE},
+        {"open": "o1", "close": "c1", "direction": "d"},
+    ),
+    "Footprint": _footprint,
+}
+
 #: Not one operator: the mean of five values of the relative strength index.
 CHAIN = _windows({"value": _from(19, "v")}, _DIFF, _GAIN, {"q": _from(15, f"100 * {_ema('g[2:]', 14, 1 / 14)} / ({_ema('g[2:]', 14, 1 / 14)} + {_ema('f[2:]', 14, 1 / 14)})")}, {"v": "avg(q) OVER (PARTITION BY sym ORDER BY ts ROWS 4 PRECEDING)"})

@@ -173,11 +173,22 @@ def _book_sql(name: str) -> str:
     imb = lambda n: f"({s('b', n)} - {s('a', n)}) / ({s('b', n)} + {s('a', n)})"
     e = {
         "OrderBookImbalanceTop1": imb(1), "OrderBookImbalanceTopN": imb(5), "OrderBookImbalanceFull": imb(5),
-        "Microprice": "(b[1].p * a[1].q + a[1].p * b[1].q) / (a[1].q + b[1].q)", "QuotedSpread": "(a[1].p - b[1].p) / ((a[1].p + b[1].p) / 2) * 10000",
+        "DepthSlope": f"({_side_sql('b')} + {_side_sql('a')}) / 2", "Microprice": "(b[1].p * a[1].q + a[1].p * b[1].q) / (a[1].q + b[1].q)", "QuotedSpread": "(a[1].p - b[1].p) / ((a[1].p + b[1].p) / 2) * 10000",
     }[name]
     return f"SELECT sym, ts, round({e}, {DIGITS}) AS {snake(name)} FROM (SELECT sym, ts, {_BID} AS b, {_ASK} AS a FROM ({CANDLES_SQL}) c) d"
 
 
+def _side_sql(side: str) -> str:
+    """Least-squares slope of the size so far on the distance from the mid, over five levels."""
+    return f"(SELECT regr_slope(q, d) FROM (SELECT abs({side}[k].p - (b[1].p + a[1].p) / 2) AS d, list_sum([x.q for x in {side}[1:k]]) AS q FROM range(1, 6) r(k)) s)"
+
+
+ORDER_FLOW_SQL = f"""WITH d AS (SELECT sym, ts, close + 1 - 0.1 AS bp, volume AS bq, close + 1 + 0.1 AS ap, volume * 0.9 AS aq FROM ({CANDLES_SQL}) c),
+e AS (SELECT *, CASE WHEN bp >= lag(bp) OVER o THEN bq ELSE 0 END - CASE WHEN bp <= lag(bp) OVER o THEN lag(bq) OVER o ELSE 0 END - CASE WHEN ap <= lag(ap) OVER o THEN aq ELSE 0 END + CASE WHEN ap >= lag(ap) OVER o THEN lag(aq) OVER o ELSE 0 END AS e,
+ row_number() OVER o AS i FROM d WINDOW o AS (PARTITION BY sym ORDER BY ts))
+SELECT sym, ts, CASE WHEN i > 20 THEN round(sum(e) OVER (PARTITION BY sym ORDER BY ts ROWS 19 PRECEDING), {DIGITS}) END AS order_flow_imbalance FROM e"""
+
+
 TICK_BARS_SQL = f"""WITH c AS (SELECT *, row_number() OVER (PARTITION BY sym ORDER BY ts) - 1 AS rn FROM ({CANDLES_SQL}) c)
 SELECT sym, max(ts) AS ts, CAST(0 AS INTEGER) AS bar, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, sum(volume) AS volume
 FROM c GROUP BY sym, rn // 10 HAVING count(*) = 10"""
@@ -196,8 +207,9 @@ def oracles() -> dict[str, str]:
     for n, sql in handwritten.SQL.items():
         out[f"ind_{snake(n)}"] = sql(_source_sql(OPERATORS[n].kind), output(n), DIGITS)
     out["shape_chain"] = handwritten.CHAIN(_source_sql("x"), "rsi_sma", DIGITS)
-    out |= {f"ind_{snake(n)}": _book_sql(n) for n in books.BOOKS if n != "DepthSlope"}
-    return out | {"bars_tick_bars": TICK_BARS_SQL}
+    out |= {f"ind_{snake(n)}": _book_sql(n) for n in books.BOOKS}
+    out |= {f"bars_{snake(n)}": sql(_source_sql("trade" if n == "Footprint" else "candle")) for n, sql in handwritten.BARS.items()}
+    return out | {"ind_order_flow_imbalance": ORDER_FLOW_SQL, "bars_tick_bars": TICK_BARS_SQL}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
