@@ -641,6 +641,127 @@ SQL |= {
 }
 
 
+_FAR, _NEAR = "(CASE WHEN p.way > 0 THEN b.high ELSE b.low END)", "(CASE WHEN p.way > 0 THEN b.low ELSE b.high END)"
+_ON = f"({_FAR} - p.top) * p.way > 0"
+_BACK_5 = f"(NOT ({_ON}) AND ({_NEAR} - p.top * (1 - 0.05 * p.way)) * p.way <= 0)"
+#: States of swings that turn by five percent: the extreme so far, its row, the direction; the pivot that a turn confirms.
+_SWINGS = (
+    {"top": "high", "at": "1", "way": "1", "new": "0", "pp": "0", "pw": "0", "pb": "0"},
+    {
+        "top": f"CASE WHEN {_ON} THEN {_FAR} WHEN {_BACK_5} THEN {_NEAR} ELSE p.top END", "at": f"CASE WHEN {_ON} OR {_BACK_5} THEN b.i ELSE p.at END", "way": f"CASE WHEN {_BACK_5} THEN -p.way ELSE p.way END",
+        "new": _BACK_5, "pp": "p.top", "pw": "p.way", "pb": "p.at",
+    },
+)
+
+
+def _swung(need: int, outs: dict[str, str], *stages: dict[str, str]):
+    """Outputs on every row once ``need`` pivots are there: x0, x1, ... the last prices, b0, ... their rows, d the last one's
+    side, ps all pivots."""
+    last = {f"x{k}": f"ps[{k - need}][1]" for k in range(need)} | {f"b{k}": f"ps[{k - need}][3]" for k in range(need)} | {"d": "ps[-1][2]"}
+    return _after({k: f"CASE WHEN len(ps) >= {need} THEN {e} END" for k, e in outs.items()}, 1, *_SWINGS, {"ps": "list([pp, pw, pb]) FILTER (new > 0) OVER u"}, last, *stages)
+
+
+def _shape(need: int, *rules: tuple[str, str]):
+    """The side of the first rule that a new pivot and those before it meet."""
+    said = " ".join(f"WHEN {rule} THEN {side}" for rule, side in rules)
+    return _swung(need, {"value": f"CASE WHEN new = 0 THEN 0.0 {said} ELSE 0.0 END"})
+
+
+def _same(a: str, b: str, tol: float = 0.03) -> str:
+    return f"abs({a} - {b}) <= {tol} * greatest(abs({a}), abs({b}))"
+
+
+def _leg(a: str, b: str, r: float) -> str:
+    return f"{b} + {r} * ({a} - {b})"
+
+
+def _levels_of(need: int, expr, ratios: tuple[float, ...]):
+    return _swung(need, {f"level_{round(r * 1000)}": expr(r) for r in ratios})
+
+
+def _ratios(**bounds: tuple[float, float]):
+    size = {"xa": "abs(x1 - x0)", "ab": "abs(x2 - x1)", "bc": "abs(x3 - x2)", "cd": "abs(x4 - x3)", "ad": "abs(x4 - x1)", "xc": "abs(x3 - x0)"}
+    rules = [f"{size[k[:2]]} / nullif({size[k[3:]]}, 0) BETWEEN {lo} AND {hi}" for k, (lo, hi) in bounds.items()]
+    return _shape(5, (" AND ".join(rules), "-d"))
+
+
+_H0, _H1, _L0_, _L1_ = (f"(CASE WHEN d > 0 THEN {a} ELSE {b} END)" for a, b in (("x1", "x0"), ("x3", "x2"), ("x0", "x1"), ("x2", "x3")))
+_RETRACED, _EXTENDED, _THIRDS = (0.0, 0.236, 0.382, 0.5, 0.618, 0.786, 1.0), (1.272, 1.414, 1.618, 2.0, 2.618), (0.382, 0.5, 0.618)
+_BIGGEST = "list_max(list_filter(range(1, len(ps[-6:])), lambda k: abs(ps[-6:][k][1] - ps[-6:][k + 1][1]) = list_max(list_transform(range(1, len(ps[-6:])), lambda m: abs(ps[-6:][m][1] - ps[-6:][m + 1][1])))))"
+_CROWD = "list_transform(z, lambda k: len(list_filter(z, lambda m: abs(m - k) <= 0.03 * greatest(abs(m), abs(k)))))"
+_MOST = "list_max(list_filter(range(1, len(z) + 1), lambda k: n[k] = list_max(n)))"
+_DRIVES = [f"abs(x{k + 1} - x{k})" for k in range(6)]
+
+
+def _fibonacci(end: int) -> list[int]:
+    out = [1, 2]
+    while out[-1] < end:
+        out.append(out[-1] + out[-2])
+    return out
+
+
+_ZONES = f"{_fibonacci(10**9)}"
+
+
+def _fractal(outs: dict[str, str], *stages: dict[str, str]):
+    """f: 1 or -1 where the row two before is the only highest or lowest of five; g: which run of one side it belongs to."""
+    beside = [k for k in range(5) if k != 2]
+    top = " AND ".join(f"lag(high, 2) OVER o > lag(high, {k}) OVER o" for k in beside)
+    low = " AND ".join(f"lag(low, 2) OVER o < lag(low, {k}) OVER o" for k in beside)
+    return _windows(
+        outs, {"top": f"coalesce({top}, false)", "low_": f"coalesce({low}, false)", "h2": "lag(high, 2) OVER o", "l2": "lag(low, 2) OVER o"}, {"f": "CASE WHEN top AND NOT low_ THEN 1 WHEN low_ AND NOT top THEN -1 END"},
+        {"before": "last_value(f IGNORE NULLS) OVER (PARTITION BY sym ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"}, {"g": "sum(CASE WHEN f IS NOT NULL AND (before IS NULL OR before != f) THEN 1 ELSE 0 END) OVER u"}, *stages,
+    )
+
+
+def _run(back: int) -> dict[str, str]:
+    """The extreme of the run that is ``back`` before the present one, and its row."""
+    own = f"list_filter(pv, lambda q: q[4] = g - {back})"
+    best = f"CASE WHEN ({own})[1][2] > 0 THEN list_max(list_transform({own}, lambda q: q[1])) ELSE list_min(list_transform({own}, lambda q: q[1])) END"
+    return {f"v{back}": best, f"r{back}": f"list_filter({own}, lambda q: q[1] = {best})[1][3]"}
+
+
+_FORK = "((v1 + v0) / 2 - v2) / ((r1 + r0) / 2 - r2)"
+_THREE = "(CASE WHEN p.way >= 0 THEN b.close > p.z1 OR b.close < least(p.z1, p.z2, p.z3) ELSE b.close < p.z1 OR b.close > greatest(p.z1, p.z2, p.z3) END)"
+
+SQL |= {
+    "ZigZag": _after({"swing": "CASE WHEN new > 0 THEN pp END", "direction": "CASE WHEN new > 0 THEN pw END"}, 1, *_SWINGS),
+    "DoubleTopBottom": _shape(3, (_same("x0", "x2"), "-d")),
+    "TripleTopBottom": _shape(5, (f"{_same('x0', 'x2')} AND {_same('x2', 'x4')}", "-d")),
+    "HeadAndShoulders": _shape(5, (f"{_same('x0', 'x4')} AND {_same('x1', 'x3')} AND (x2 - x0) * d > 0 AND (x2 - x4) * d > 0", "-d")),
+    "Triangle": _shape(4, (f"{_same(_H0, _H1)} AND {_L1_} > {_L0_} * 1.03", "1"), (f"{_H1} < {_H0} * 0.97 AND {_same(_L0_, _L1_)}", "-1"), (f"{_H1} < {_H0} * 0.97 AND {_L1_} > {_L0_} * 1.03", "-d")),
+    "Wedge": _shape(4, (f"{_H1} > {_H0} AND {_L1_} - {_L0_} > {_H1} - {_H0}", "-1"), (f"{_L1_} < {_L0_} AND {_H1} - {_H0} < {_L1_} - {_L0_}", "1")),
+    "FlagPennant": _shape(3, ("x1 != x0 AND abs(x2 - x1) < 0.5 * abs(x1 - x0)", "-d")),
+    "RectangleRange": _shape(4, (f"{_same(_H0, _H1)} AND {_same(_L0_, _L1_)}", "-d")),
+    "CupAndHandle": _shape(4, (f"{_same('x0', 'x2')} AND least(x1, x2) < x3 AND x3 < greatest(x1, x2) AND (x2 - x1) * -d > 0", "-d")),
+    "Abcd": _shape(4, (f"{_DRIVES[1]} / {_DRIVES[0]} BETWEEN 0.382 AND 0.886 AND {_DRIVES[2]} / {_DRIVES[1]} BETWEEN 1.13 AND 2.618 AND {_same(_DRIVES[0], _DRIVES[2], 0.10)}", "-d")),
+    "Gartley": _ratios(ab_xa=(0.55, 0.70), bc_ab=(0.382, 0.886), cd_bc=(1.13, 1.618), ad_xa=(0.74, 0.84)),
+    "Butterfly": _ratios(ab_xa=(0.74, 0.84), bc_ab=(0.382, 0.886), cd_bc=(1.618, 2.618), ad_xa=(1.27, 1.618)),
+    "Bat": _ratios(ab_xa=(0.382, 0.50), bc_ab=(0.382, 0.886), cd_bc=(1.618, 2.618), ad_xa=(0.84, 0.93)),
+    "Crab": _ratios(ab_xa=(0.382, 0.618), bc_ab=(0.382, 0.886), cd_bc=(2.24, 3.618), ad_xa=(1.55, 1.65)),
+    "Shark": _ratios(ab_xa=(1.13, 1.618), bc_ab=(1.618, 2.24), cd_bc=(0.382, 0.886), ad_xa=(0.886, 1.13)),
+    "Cypher": _ratios(ab_xa=(0.382, 0.618), xc_xa=(1.272, 1.414), cd_xc=(0.74, 0.83)),
+    "ThreeDrives": _shape(7, (" AND ".join([f"{_DRIVES[k + 1]} / {_DRIVES[k]} BETWEEN 1.13 AND 1.75" for k in (0, 2, 4)] + [_same(_DRIVES[k], _DRIVES[k + 2], 0.20 if k % 2 else 0.30) for k in range(4)]), "-d")),
+    "FibRetracement": _levels_of(2, lambda r: _leg("x0", "x1", r), _RETRACED),
+    "FibExtension": _levels_of(2, lambda r: f"x0 + {r} * (x1 - x0)", _EXTENDED),
+    "FibProjection": _levels_of(3, lambda r: f"x2 + {r} * (x1 - x0)", (0.618, 1.0, 1.618, 2.618)),
+    "AutoFib": _swung(2, {f"level_{round(r * 1000)}": _leg("u0", "u1", r) for r in _RETRACED}, {"j": _BIGGEST}, {"u0": "ps[-6:][j][1]", "u1": "ps[-6:][j + 1][1]"}),
+    "GoldenPocket": _swung(2, {"low": f"least({_leg('x0', 'x1', 0.618)}, {_leg('x0', 'x1', 0.65)})", "mid": f"({_leg('x0', 'x1', 0.618)} + {_leg('x0', 'x1', 0.65)}) / 2", "high": f"greatest({_leg('x0', 'x1', 0.618)}, {_leg('x0', 'x1', 0.65)})"}),
+    "FibConfluence": _swung(3, {"price": "list_avg(list_filter(z, lambda m: abs(m - z[j]) <= 0.03 * greatest(abs(m), abs(z[j]))))", "strength": "list_max(n)"},
+        {"z": "flatten(list_transform(range(1, len(ps[-6:])), lambda k: list_transform([0.382, 0.5, 0.618], lambda r: ps[-6:][k + 1][1] + CAST(r AS DOUBLE) * (ps[-6:][k][1] - ps[-6:][k + 1][1]))))"}, {"n": _CROWD}, {"j": _MOST}),
+    "FibFan": _swung(2, {f"fan_{round(r * 1000)}": f"x0 + {r} * (x1 - x0) * (i - b0) / (b1 - b0)" for r in _THIRDS}),
+    "FibArcs": _swung(2, {f"arc_{round(r * 1000)}": f"x1 + (x0 - x1) * {r} * sqrt(greatest(0.0, 1 - pow((i - b1) / (b1 - b0), 2)))" for r in _THIRDS}),
+    "FibChannel": _swung(3, {"base": "line"} | {f"level_{round(r * 1000)}": f"line + {r} * (x1 - (x0 + slope * (b1 - b0)))" for r in (0.618, 1.0, 1.618)}, {"slope": "(x2 - x0) / (b2 - b0)"}, {"line": "x0 + slope * (i - b0)"}),
+    "FibTimeZones": _swung(1, {"on_zone": f"CASE WHEN list_contains({_ZONES}, CAST(i - b0 AS BIGINT)) THEN 1.0 ELSE 0.0 END", "bars_to_next": f"list_min(list_filter({_ZONES}, lambda k: k > i - b0)) - (i - b0)"}),
+    "TdDWave": _fractal({"value": "CASE WHEN g > 0 THEN (g - 1) % 8 + 1 END"}),
+    "AndrewsPitchfork": _fractal({"median": f"CASE WHEN g >= 3 THEN v2 + {_FORK} * (i - r2) END", "upper": f"CASE WHEN g >= 3 THEN greatest(v1 + {_FORK} * (i - r1), v0 + {_FORK} * (i - r0)) END", "lower": f"CASE WHEN g >= 3 THEN least(v1 + {_FORK} * (i - r1), v0 + {_FORK} * (i - r0)) END"},
+        {"pv": "list([CASE WHEN f > 0 THEN h2 ELSE l2 END, f, i - 2, g]) FILTER (f IS NOT NULL) OVER u"}, _run(0) | _run(1) | _run(2)),
+    "ThreeLineBreak": _steps(1, {"z1": "close", "z2": "NULL", "z3": "NULL", "way": "0"}, {"z1": f"CASE WHEN {_THREE} THEN b.close ELSE p.z1 END", "z2": f"CASE WHEN {_THREE} THEN p.z1 ELSE p.z2 END", "z3": f"CASE WHEN {_THREE} THEN p.z2 ELSE p.z3 END",
+        "way": f"CASE WHEN {_THREE} THEN sign(b.close - p.z1) ELSE p.way END"}, {"value": "CASE WHEN way != 0 THEN way END"}),
+}
+
+
+
 def _bars(first: dict[str, str], step: dict[str, str], fields: dict[str, str], also: str = ""):
     """Bars of which a row closes one at most; done: whether it does."""
 
