@@ -761,6 +761,55 @@ SQL |= {
 }
 
 
+def _quadrature(first: str, buffer: str) -> str:
+    """The transform over a buffer of which p holds the values before, the newest being ``first``."""
+    return f"((0.0962 * {first} + 0.5769 * {buffer.format(1, 2)} - 0.5769 * {buffer.format(3, 4)} - 0.0962 * {buffer.format(5, 6)}) * _GAIN)"
+
+
+def _hilbert() -> tuple[dict[str, str], dict[str, str]]:
+    """States of the transform: last detrended values (d), quadratures (q) and in-phase values (j), what the period is made
+    of, the period and its average (sp); ph, m, f: phase and both averages that follow it."""
+    gain = "(0.075 * least(greatest(p.per, 6), 50) + 0.54)"
+    d0 = _quadrature("b.sm", "b.x{1}")
+    q0 = _quadrature(d0, "p.d{0}")
+    j0 = "(CASE WHEN p.d5 IS NOT NULL THEN p.d2 END)"
+    ready = "(p.q5 IS NOT NULL)"
+    i2 = f"(0.2 * ({j0} - {_quadrature(q0, 'p.q{0}')}) + 0.8 * p.i2)"
+    q2 = f"(0.2 * ({q0} + {_quadrature(j0, 'p.j{0}')}) + 0.8 * p.q2_)"
+    re = f"(0.2 * ({i2} * p.i2 + {q2} * p.q2_) + 0.8 * p.re)"
+    im = f"(0.2 * ({i2} * p.q2_ - {q2} * p.i2) + 0.8 * p.im)"
+    raw = f"(CASE WHEN abs({im}) > 2.220446049250313e-16 AND abs({re}) > 2.220446049250313e-16 THEN 2 * pi() / atan2({im}, {re}) ELSE p.per END)"
+    per = f"(0.2 * least(greatest(greatest(least({raw}, 1.5 * p.per), 0.67 * p.per), 6), 50) + 0.8 * p.per)"
+    phase = f"(CASE WHEN abs({j0}) > 2.220446049250313e-16 THEN degrees(atan({q0} / {j0})) ELSE p.ph END)"
+    k = f"least(greatest(0.5 / greatest(p.ph - {phase}, 1), 0.05), 0.5)"
+    m = f"({k} * b.x + (1 - {k}) * p.m)"
+    step = {"d0": d0, "q0": q0, "j0": j0} | {f"{n}{z}": f"p.{n}{z - 1}" for n in "dqj" for z in range(1, 7)}
+    step |= {n: f"CASE WHEN {ready} THEN {e} ELSE p.{n} END" for n, e in {"i2": i2, "q2_": q2, "re": re, "im": im, "per": per, "sp": f"0.33 * {per} + 0.67 * p.sp", "ph": phase, "m": m, "f": f"0.5 * {k} * {m} + (1 - 0.5 * {k}) * p.f"}.items()}
+    start = {"d0": d0.replace("_GAIN", "0.99").replace("b.", "")} | {n: "NULL" for n in step if n[0] in "dqj" and n not in ("d0", "q2_")} | {n: "0" for n in ("i2", "q2_", "re", "im", "per", "sp", "ph")} | {"m": "sm1", "f": "sm1"}
+    return {n: start[n] for n in step}, {n: e.replace("_GAIN", gain) for n, e in step.items()}
+
+
+_HILBERT = _hilbert()
+_SMOOTHED = _staged({f"x{k}": f"lag(x, {k}) OVER o" for k in range(1, 7)}, {"sm": "(4 * x + 3 * x1 + 2 * x2 + x3) / 10"}, {"sm1": "lag(sm) OVER o"})
+
+
+def _cycle(outs: dict[str, str], first: int, *stages: dict[str, str]):
+    return _after({k: _from(first, e) for k, e in outs.items()}, 7, *_HILBERT, *stages, source=_SMOOTHED)
+
+
+_TURNED = "list_sum(list_transform(range(0, least(n, len(w))), lambda k: {0}(2 * pi() * k / n) * w[len(w) - k]))"
+
+SQL |= {
+    "HtPhasor": _cycle({"inphase": "d3", "quadrature": "q0"}, 19),
+    "HilbertDominantCycle": _cycle({"value": "sp"}, 50),
+    "AdaptiveCycle": _cycle({"value": "least(25, greatest(3, round(0.5 * sp)))"}, 50),
+    "Mama": _cycle({"mama": "m", "fama": "f"}, 33),
+    "Fama": _cycle({"value": "f"}, 33),
+    "HtDcPhase": _cycle({"value": "CASE WHEN a > 315 THEN a - 360 ELSE a END"}, 50, {"w": f"list(sm) FILTER (i >= 7) {_rows(50)}", "n": "CAST(floor(sp + 0.5) AS INTEGER)"}, {"s": f"CASE WHEN i >= 50 THEN {_TURNED.format('sin')} END", "c": f"CASE WHEN i >= 50 THEN {_TURNED.format('cos')} END"},
+        {"a": "CASE WHEN c != 0 THEN degrees(atan(s / c)) WHEN s >= 0 THEN 90 ELSE -90 END + 90 + 360 / nullif(sp, 0) + CASE WHEN c < 0 THEN 180 ELSE 0 END"}),
+}
+
+
 
 def _bars(first: dict[str, str], step: dict[str, str], fields: dict[str, str], also: str = ""):
     """Bars of which a row closes one at most; done: whether it does."""
