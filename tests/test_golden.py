@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 
 from tidemark.operators import OPERATORS
+from tidemark.operators.bars import BARS
 from tidemark.plans.expr import Stepper, evaluate
 from tidemark.plans.spark import flat
 
@@ -72,3 +73,20 @@ def test_golden(name):
     for got in (whole, steps):
         assert got.shape == want.shape
         assert np.allclose(got, want, rtol=1e-6, atol=1e-6, equal_nan=True), [(i, got[i], want[i]) for i in range(80) if not np.allclose(got[i], want[i], rtol=1e-6, atol=1e-6, equal_nan=True)][:3]
+
+
+#: The parameters of the bar files. Builders that read the close get one price; a line holds the bars that its candle closed.
+SIZES = {"RenkoBars": (2.0,), "KagiBars": (2.0,), "PointAndFigureBars": (2.0, 3), "RangeBars": (2.0,), "ThreeLineBreakBars": (3,), "ImbalanceBars": (5.0,), "RunBars": (3,)}
+
+
+@pytest.mark.skipif(not FOLDER, reason="GOLDEN_DIR isn't set")
+@pytest.mark.parametrize("name", sorted(SIZES))
+def test_golden_bars(name):
+    lines = Path(FOLDER, f"g_{name}.csv").read_text().splitlines()[1:]
+    want = [[float(v) for v in line.split(",") if v] for line in lines]
+    b = BARS[name]
+    step = b.make(*SIZES[name])
+    got = [[float(v) for bar in step(*(float(COLUMNS[k][i]) for k in b.inputs)) for v in bar] for i in range(80)]
+    assert len(got) == len(want) and sum(map(len, want)) > 0
+    for i, (a, z) in enumerate(zip(got, want, strict=True)):
+        assert len(a) == len(z) and np.allclose(a, z, rtol=1e-9, atol=1e-9), (i, a, z)
