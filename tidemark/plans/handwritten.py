@@ -887,5 +887,35 @@ BARS = {
     "Footprint": _footprint,
 }
 
+
+def _moved(start: str, n: str, way: str) -> str:
+    """start and n boxes of 20 added one by one."""
+    return f"list_reduce(list_prepend({start}, list_transform(range(0, CAST({n} AS BIGINT)), lambda q: 20.0 * {way})), lambda u, v: u + v)"
+
+
+def _bricks(first: str, n: str):
+    """n bricks a row from the level ``first`` on, toward the close."""
+
+    def sql(source: str) -> str:
+        way = "sign(b.close - p.a)"
+        start = {"a": "close", "way": "0", "n": "0", "s": "close"}
+        step = {"a": f"CASE WHEN {n} > 0 THEN {_moved(first, n, way)} ELSE p.a END", "way": f"CASE WHEN {n} > 0 THEN {way} ELSE p.way END", "n": n, "s": first}
+        carried = _steps(1, start, step, {"value": "0"})(source, "q", 6).rsplit("\nSELECT", 1)[0]
+        return (
+            f"{carried},\nk AS (SELECT sym, ts, way, s, unnest(range(0, CAST(n AS BIGINT))) AS k FROM e WHERE n > 0)\n"
+            f"SELECT sym, ts, CAST(k AS INTEGER) AS bar, {_moved('s', 'k', 'way')} AS open, {_moved('s', 'k + 1', 'way')} AS close, way AS direction FROM k"
+        )
+
+    return sql
+
+
+_BOXES = "floor(abs(b.close - p.a) / 20)"
+_WITH = "(p.way = 0 OR p.way = sign(b.close - p.a))"
+BARS |= {
+    "RangeBars": _bricks("p.a", _BOXES),
+    "RenkoBars": _bricks(f"CASE WHEN {_WITH} THEN p.a ELSE p.a + 20.0 * sign(b.close - p.a) END", f"(CASE WHEN {_WITH} THEN {_BOXES} ELSE greatest({_BOXES} - 1, 0) END)"),
+}
+
+
 #: Not one operator: the mean of five values of the relative strength index.
 CHAIN = _windows({"value": _from(19, "v")}, _DIFF, _GAIN, {"q": _from(15, f"100 * {_ema('g[2:]', 14, 1 / 14)} / ({_ema('g[2:]', 14, 1 / 14)} + {_ema('f[2:]', 14, 1 / 14)})")}, {"v": "avg(q) OVER (PARTITION BY sym ORDER BY ts ROWS 4 PRECEDING)"})
