@@ -810,6 +810,20 @@ SQL |= {
 }
 
 
+def _passed_band(source: str) -> str:
+    """The source with bp, its band-passed x, and u, the middle of the last ten of these."""
+    carried = _steps(2, {"y": "0", "yb": "0"}, _band_pass(0.5 * math.pi / 20, 20), {"value": "0"}, also=_BEFORE)(source, "q", 6).rsplit("\nSELECT", 1)[0]
+    return f"SELECT *, (max(bp) {_rows(10)} + min(bp) {_rows(10)}) / 2 AS u FROM ({carried} SELECT sym, ts, coalesce(y, 0) AS bp FROM e) s"
+
+
+_TREND = "(CASE WHEN b.i = 11 THEN b.u ELSE {0!r} * (b.u + p.u) / 2 + {1!r} * p.m + {2!r} * p.mb END)".format(*_smoother(20))
+_MODE = f"CASE WHEN b.i = 11 THEN b.bp - {_TREND} ELSE {{0!r}} * (b.bp - {_TREND} + p.bp - p.m) / 2 + {{1!r}} * p.z + {{2!r}} * p.zb END".format(*_smoother(20))
+
+SQL |= {
+    "EmpiricalModeDecomposition": _steps(10, {"m": "u", "mb": "0", "z": "bp - u", "zb": "0"}, {"m": _TREND, "mb": "p.m", "z": _MODE, "zb": "p.z"}, {"value": "z"}, source=_passed_band("{source}")),
+}
+
+
 
 def _bars(first: dict[str, str], step: dict[str, str], fields: dict[str, str], also: str = ""):
     """Bars of which a row closes one at most; done: whether it does."""
