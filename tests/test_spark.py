@@ -16,7 +16,7 @@ from tidemark.functions import books
 from tidemark.operators import OPERATORS
 from tidemark.plans.emit import build_bars
 from tidemark.plans.expr import evaluate
-from tidemark.plans.spark import apply, flat, is_native, named
+from tidemark.plans.spark import FN, Compiler, apply, flat, is_native, named
 from tidemark.plans.sql import query
 from tidemark.sources import candles as shape
 from tidemark.streaming.runner import stream_candles, stream_operator
@@ -93,6 +93,24 @@ def test_native_plan_has_no_python_and_one_exchange(frames):
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 3
 
 
+def test_conditions_are_strict_and_named_once(spark):
+    rows = [(a, b) for a in (True, False, None) for b in (True, False, None)]
+    a, b = F.col("left"), F.col("right")
+    got = spark.createDataFrame(rows, "left boolean, right boolean").select(a, b, FN["and"](a, b), FN["or"](a, b)).collect()
+    for x, y, both, either in got:
+        assert (both, either) == ((None, None) if x is None or y is None else (x and y, x or y))
+    assert str(FN["and"](a, b)).count("left") == str(FN["or"](a, b)).count("left") == 1
+
+
+@pytest.mark.parametrize("name", ["FallingThreeMethods"])
+def test_long_chain_of_conditions(frames, name):
+    """Its expression grows with the number of conditions, not with 2 to that power."""
+    d, df = frames
+    column = Compiler(df.withColumn("_valid", F.lit(True)), ["sym"], ["ts"], {k: k for k in ("open", "high", "low", "close")}).run(flat(OPERATORS[name].outputs()))[0]
+    assert len(str(column)) < 20_000
+    compare(d, apply(df, name, key="sym", order=["ts", "seq"], out="o").toPandas(), name)
+
+
 @pytest.mark.parametrize("name", KERNEL)
 def test_kernel_plan(frames, name):
     d, df = frames

@@ -75,7 +75,8 @@ FN = {
     "pow": lambda a, b: F.pow(a, b), "tanh": F.tanh, "atan": F.atan, "atan2": F.atan2, "sin": F.sin, "cos": F.cos,
     "floor": lambda a: F.floor(a).cast("double"), "ceil": lambda a: F.ceil(a).cast("double"), "round": lambda a: F.bround(a).cast("double"),
     "where": lambda c, a, b: F.when(c, a).when(~c, b), "only": lambda c, x: F.when(c, x), "isnull": lambda a: a.isNull(), "coalesce": lambda a, b: F.coalesce(a, b),
-    "and": lambda a, b: _guard(a & b, a, b), "or": lambda a, b: _guard(a | b, a, b), "not": lambda a: ~a,
+    # on integers, where null is strict: a guard names each side twice, and a chain of n conditions then has 2^n terms
+    "and": lambda a, b: a.cast("int").bitwiseAND(b.cast("int")) == 1, "or": lambda a, b: a.cast("int").bitwiseOR(b.cast("int")) == 1, "not": lambda a: ~a,
 }
 #: Arguments that are conditions.
 CONDITIONS = {"where": (0,), "only": (0,), "and": (0, 1), "or": (0, 1), "not": (0,)}
