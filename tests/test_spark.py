@@ -102,7 +102,7 @@ def test_conditions_are_strict_and_named_once(spark):
     assert str(FN["and"](a, b)).count("left") == str(FN["or"](a, b)).count("left") == 1
 
 
-@pytest.mark.parametrize("name", ["FallingThreeMethods"])
+@pytest.mark.parametrize("name", ["FallingThreeMethods", "RisingThreeMethods"])
 def test_long_chain_of_conditions(frames, name):
     """Its expression grows with the number of conditions, not with 2 to that power."""
     d, df = frames
