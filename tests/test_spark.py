@@ -18,6 +18,7 @@ from tidemark.plans.emit import build_bars
 from tidemark.plans.expr import evaluate
 from tidemark.plans.spark import FN, Compiler, apply, flat, is_native, named
 from tidemark.plans.sql import query
+from tidemark.queries import QUERIES, oracles
 from tidemark.sources import candles as shape
 from tidemark.streaming.runner import stream_candles, stream_operator
 
@@ -167,6 +168,36 @@ def test_ticks_resample_fill_and_anchor(spark):
         shape.in_order(ticks.withColumn("seq", F.monotonically_increasing_id()).coalesce(1), key="sym").collect()
 
 
+@pytest.fixture(scope="module")
+def odd_events(spark, tmp_path_factory):
+    """Ticks at one time that differ, first and last in an hour; hours whose first, last or only value is missing; no time; no type; gaps."""
+    us = 1_000_000
+    rows = [(0, 5 * us, "a", 1.0), (1, 5 * us, "a", 2.0), (2, 5 * us + 1, "a", 9.0), (3, 3599 * us, "a", 3.0), (4, 3599 * us, "a", 4.0), (5, 3599 * us, "a", 2.5)]
+    rows += [(6, 3600 * us, "a", None), (7, 3601 * us, "a", 6.0), (8, 3602 * us, "a", 5.0), (9, 3603 * us, "a", None), (10, 4 * 3600 * us, "a", None), (11, 30 * 3600 * us, "a", 8.0)]
+    rows += [(12, None, "a", 7.0), (13, 9 * 3600 * us, None, 1.5), (14, 9 * 3600 * us, None, 2.5), (15, 12 * 3600 * us, None, 3.5), (16, 7 * 3600 * us, "b", 4.5), (17, None, "c", 1.0)]
+    d = tmp_path_factory.mktemp("odd")
+    df = spark.createDataFrame(rows, "event_id long, us long, event_type string, value double")
+    df = df.select("event_id", F.expr("CAST(timestamp_micros(us + 1704067200000000) AS TIMESTAMP_NTZ)").alias("ts"), F.lit(1).cast("long").alias("user_id"), "event_type", "value", F.lit("{}").alias("props"))
+    df.orderBy("event_id").coalesce(1).write.parquet(f"{d}/events.parquet")
+    return d
+
+
+def equals_sql(spark, folder, name):
+    got = [tuple(r) for r in QUERIES[name](spark, str(folder)).collect()]
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW events AS SELECT * FROM read_parquet('{folder}/events.parquet/*.parquet')")
+        want = c.sql(oracles()[name]).fetchall()
+    assert sorted(got, key=str) == sorted(want, key=str)
+    return got
+
+
+def test_gaps_after_ties_and_missing_values(spark, odd_events):
+    got = {r[:2]: r[2:] for r in equals_sql(spark, odd_events, "shape_fill_gaps")}
+    first = 1_704_067_200_000
+    assert got["a", first] == (1.0, 9.0, 1.0, 3.0, 6.0) and got["a", first + 3_600_000] == (6.0, 6.0, 5.0, 5.0, 4.0)
+    assert got["a", first + 2 * 3_600_000] == (5.0, 5.0, 5.0, 5.0, 0.0) and ("a", None) not in got
+
+
 def test_quote_join(spark):
     trades = spark.createDataFrame([("a", 5), ("a", 10), ("b", 1)], "sym string, ts long")
     quotes = spark.createDataFrame([("a", 5, 1.5), ("a", 9, 2.5), ("b", 2, 9.0)], "sym string, ts long, mid double")

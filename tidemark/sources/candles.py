@@ -55,32 +55,40 @@ def _keys(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def ticks_to_candles(ticks: DataFrame, size: int, *, key: str | list[str], ts: str = "ts", price: str = "price", volume: str = "volume", order: list[str] | None = None) -> DataFrame:
-    """Candles of ``size`` time units, stamped with the bucket's start; ``order`` breaks ties of ts. One aggregation, combined before the shuffle."""
-    at = F.struct(ts, *(order or []))
+def _at(value: str, *order: Column | str) -> Column:
+    """What orders a value; null, so that min_by and max_by pass over the row, where the value or its time is."""
+    return F.when(F.col(value).isNotNull() & F.col(order[0]).isNotNull(), F.struct(*order))
+
+
+def ticks_to_candles(ticks: DataFrame, size: int, *, key: str | list[str], ts: str = "ts", price: str = "price", volume: str = "volume", order: list[str] | None = None, first: list[str] | None = None) -> DataFrame:
+    """Candles of ``size`` time units, stamped with the bucket's start; ``order`` breaks ties of ts. One aggregation, combined before the shuffle.
+
+    Ticks without a price count for the volume only. ``first``: integer columns; of the ticks that ``order`` leaves tied the one
+    with the lowest values opens, and closes, the candle."""
+    opens = _at(price, ts, *(order or []), *(first or []))
+    closes = _at(price, ts, *(order or []), *[F.bitwise_not(c) for c in first or []])
     b = bucket(F.col(ts).cast("long"), size).alias("ts")
     return ticks.groupBy(*_keys(key), b).agg(
-        F.min_by(price, at).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, at).alias("close"), F.sum(volume).alias("volume")
+        F.min_by(price, opens).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, closes).alias("close"), F.sum(volume).alias("volume")
     )
 
 
 def resample(candles: DataFrame, size: int, *, key: str | list[str], ts: str = "ts", order: list[str] | None = None) -> DataFrame:
     """Coarser candles; the last, still open one is included."""
-    at = F.struct(ts, *(order or []))
     b = bucket(F.col(ts).cast("long"), size).alias("_b")
     out = candles.groupBy(*_keys(key), b).agg(
-        F.min_by("open", at).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", at).alias("close"), F.sum("volume").alias("volume")
+        F.min_by("open", _at("open", ts, *(order or []))).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", _at("close", ts, *(order or []))).alias("close"), F.sum("volume").alias("volume")
     )
     return out.withColumnRenamed("_b", "ts")
 
 
 def fill_gaps(candles: DataFrame, size: int, *, key: str | list[str], ts: str = "ts") -> DataFrame:
-    """A flat candle at the previous close, volume 0, for each bucket skipped; more than a million in one gap fail the query."""
+    """A flat candle at the previous close, volume 0, for each bucket skipped; more than a million in one gap fail the query. Candles without a time are left out."""
     keys = _keys(key)
     w = Window.partitionBy(*keys).orderBy(ts)
     following = F.coalesce(F.lead(ts).over(w), F.col(ts) + size)
     n = (following - F.col(ts)) / size
-    d = candles.withColumn("_next", F.when(n <= MOST_FILLED + 1, following).otherwise(F.raise_error(F.lit("gap too long")).cast("bigint")))
+    d = candles.withColumn("_next", F.when(n > MOST_FILLED + 1, F.raise_error(F.lit("gap too long")).cast("bigint")).otherwise(following))
     d = d.withColumn("_at", F.explode(F.sequence(F.col(ts), F.col("_next") - F.lit(1), F.lit(size))))
     real = F.col("_at") == F.col(ts)
     flat = {k: F.when(real, F.col(k)).otherwise(F.col("close")) for k in ("open", "high", "low")}
