@@ -204,6 +204,14 @@ def test_quote_join(spark):
     assert sorted((r.sym, r.ts, r.mid) for r in shape.quote_join(trades, quotes, key="sym").collect()) == [("a", 5, 1.5), ("a", 10, 2.5), ("b", 1, None)]
 
 
+def test_quote_join_of_missing_values(spark, odd_events):
+    equals_sql(spark, odd_events, "shape_quote_join")
+    trades = spark.createDataFrame([("a", 5), ("a", 10), ("a", 20), ("a", None), (None, 9)], "sym string, ts long")
+    quotes = spark.createDataFrame([("a", None, 7.0), ("a", 6, 1.5), ("a", 11, None), (None, 8, 2.5)], "sym string, ts long, mid double")
+    got = {(r.sym, r.ts): r.mid for r in shape.quote_join(trades, quotes, key="sym").collect()}
+    assert got == {("a", 5): None, ("a", 10): 1.5, ("a", 20): None, ("a", None): None, (None, 9): None}
+
+
 def test_csv(spark, tmp_path):
     good = tmp_path / "good.csv"
     good.write_text("﻿close,extra,timestamp,open, high,low,volume\n 2 ,z,1,1,3,0.5,7\n", encoding="utf-8")

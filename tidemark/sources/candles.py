@@ -103,14 +103,19 @@ def in_order(df: DataFrame, *, key: str | list[str], ts: str = "ts", seq: str =
 
 
 def quote_join(trades: DataFrame, quotes: DataFrame, *, key: str | list[str], ts: str = "ts", mid: str = "mid") -> DataFrame:
-    """Trades with the mid of the last quote at or before each (as-of join): one union, one sort, no pair is formed."""
+    """Trades with the mid of the last quote at or before each (as-of join): one union, one sort, no pair is formed.
+
+    The mid is null where that quote has none. A null key or time matches nothing."""
     keys = _keys(key)
     names = trades.columns
-    t = trades.select(*[F.col(f"`{c}`") for c in names], F.lit(None).cast("double").alias("_m"), F.lit(1).alias("_trade"))
-    q = quotes.select(*keys, F.col(ts), F.col(mid).cast("double").alias("_m")).withColumn("_trade", F.lit(0))
+    q = quotes.where(F.col(ts).isNotNull()).select(*keys, F.col(ts), F.struct(F.col(mid).cast("double").alias("mid")).alias("_m")).withColumn("_trade", F.lit(0))
+    t = trades.select(*[F.col(f"`{c}`") for c in names], F.lit(None).cast(q.schema["_m"].dataType).alias("_m"), F.lit(1).alias("_trade"))
     both = t.unionByName(q, allowMissingColumns=True)
     w = Window.partitionBy(*keys).orderBy(ts, "_trade").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(mid, F.last("_m", ignorenulls=True).over(w)).where("_trade = 1").select(*[F.col(f"`{c}`") for c in names], mid)
+    known = F.col(ts).isNotNull()
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    return both.withColumn(mid, F.when(known, F.last("_m", ignorenulls=True).over(w)["mid"])).where("_trade = 1").select(*[F.col(f"`{c}`") for c in names], mid)
 
 
 def anchored(df: DataFrame, flag: str, *, key: str | list[str], order: list[str], out: str = "segment") -> DataFrame:
