@@ -191,6 +191,18 @@ def equals_sql(spark, folder, name):
     return got
 
 
+@pytest.mark.parametrize("name", ["shape_tick_candles", "shape_resample"])
+def test_candles_of_ties_and_missing_values(spark, odd_events, name):
+    equals_sql(spark, odd_events, name)
+
+
+def test_ties_left_by_the_order(spark):
+    ticks = spark.createDataFrame([("a", 0, 0, 2, 1.0), ("a", 0, 0, 1, 2.0), ("a", 0, 1, 3, 5.0), ("a", 9, 4, 7, 3.0), ("a", 9, 5, 9, 4.0), ("a", 9, 5, 8, 6.0)], "sym string, ts long, us long, id long, price double")
+    make = lambda **k: shape.ticks_to_candles(ticks.withColumn("volume", F.lit(1.0)), 10, key="sym", **k).select("open", "close").first()
+    assert tuple(make(order=["us"], first=["id"])) == (2.0, 6.0)
+    assert tuple(make(order=["us", "id"])) == (2.0, 4.0)
+
+
 def test_gaps_after_ties_and_missing_values(spark, odd_events):
     got = {r[:2]: r[2:] for r in equals_sql(spark, odd_events, "shape_fill_gaps")}
     first = 1_704_067_200_000
