@@ -203,6 +203,20 @@ def test_ties_left_by_the_order(spark):
     assert tuple(make(order=["us", "id"])) == (2.0, 4.0)
 
 
+def test_ties_take_the_row_read_first(spark, tmp_path):
+    """Ids that fall, repeat or lack do not decide between ticks at one time; the place in the table does, file after file."""
+    rows = [(9, 5, 1.0), (3, 5, 2.0), (3, 7, 6.0), (None, 9, 3.0), (1, 9, 4.0), (0, 9, 8.0)]
+    make = lambda r: spark.createDataFrame(r, "event_id long, us long, value double").coalesce(1).select("event_id", F.expr("CAST(timestamp_micros(us + 1704067200000000) AS TIMESTAMP_NTZ)").alias("ts"), F.lit("a").alias("event_type"), "value")
+    make(rows).write.parquet(f"{tmp_path}/one/events.parquet")
+    for name in ("shape_tick_candles", "shape_fill_gaps", "shape_quote_join", "shape_resample", "shape_anchored_vwap"):
+        equals_sql(spark, tmp_path / "one", name)
+    folder = tmp_path / "two" / "events.parquet"
+    folder.mkdir(parents=True)
+    for k, part in enumerate(([(8, 5, 11.0), (7, 9, 13.0)], rows)):
+        make(part).toPandas().astype({"event_id": "Int64"}).to_parquet(folder / f"part-{k}.parquet", coerce_timestamps="us")
+    assert [tuple(r)[2:] for r in QUERIES["shape_tick_candles"](spark, str(tmp_path / "two")).collect()] == [(11.0, 13.0, 1.0, 13.0, 8.0)]
+
+
 def test_gaps_after_ties_and_missing_values(spark, odd_events):
     got = {r[:2]: r[2:] for r in equals_sql(spark, odd_events, "shape_fill_gaps")}
     first = 1_704_067_200_000

@@ -55,9 +55,9 @@ def output(name: str) -> str:
 def candles(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     us = shape.epoch_micros(events, "ts")
-    ticks = events.select(F.col("event_type").alias("sym"), F.floor(us / 1000).alias("ts"), us.alias("us"), "event_id", F.col("value").alias("price"), F.lit(1.0).alias("volume"))
-    # the SQL's arg_min and arg_max keep the first row they read of those at one time; ids rise in that order
-    return shape.ticks_to_candles(ticks, size, key="sym", order=["us"], first=["event_id"])
+    ticks = events.select(F.col("event_type").alias("sym"), F.floor(us / 1000).alias("ts"), us.alias("us"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"), F.col("value").alias("price"), F.lit(1.0).alias("volume"))
+    # the SQL's arg_min and arg_max keep the first row they read of those at one time, whatever its id
+    return shape.ticks_to_candles(ticks, size, key="sym", order=["us"], first=["file", "row"])
 
 
 def _source(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:

@@ -55,21 +55,21 @@ def _keys(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def _at(value: str, *order: Column | str) -> Column:
+def _at(value: str, ts: str, *order: Column | str) -> Column:
     """What orders a value; null, so that min_by and max_by pass over the row, where the value or its time is."""
-    return F.when(F.col(value).isNotNull() & F.col(order[0]).isNotNull(), F.struct(*order))
+    return F.when(F.col(value).isNotNull() & F.col(ts).isNotNull(), F.struct(*order))
 
 
 def ticks_to_candles(ticks: DataFrame, size: int, *, key: str | list[str], ts: str = "ts", price: str = "price", volume: str = "volume", order: list[str] | None = None, first: list[str] | None = None) -> DataFrame:
     """Candles of ``size`` time units, stamped with the bucket's start; ``order`` breaks ties of ts. One aggregation, combined before the shuffle.
 
-    Ticks without a price count for the volume only. ``first``: integer columns; of the ticks that ``order`` leaves tied the one
-    with the lowest values opens, and closes, the candle."""
-    opens = _at(price, ts, *(order or []), *(first or []))
-    closes = _at(price, ts, *(order or []), *[F.bitwise_not(c) for c in first or []])
+    Ticks without a price count for the volume only. ``first``: of the ticks that ``order`` leaves tied the one with the lowest
+    values of these columns opens, and closes, the candle; ts and ``order`` must be integers then."""
+    at = [ts, *(order or [])]
+    close = F.min_by(price, _at(price, ts, *[F.bitwise_not(c) for c in at], *first)) if first else F.max_by(price, _at(price, ts, *at))
     b = bucket(F.col(ts).cast("long"), size).alias("ts")
     return ticks.groupBy(*_keys(key), b).agg(
-        F.min_by(price, opens).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), F.max_by(price, closes).alias("close"), F.sum(volume).alias("volume")
+        F.min_by(price, _at(price, ts, *at, *(first or []))).alias("open"), F.max(price).alias("high"), F.min(price).alias("low"), close.alias("close"), F.sum(volume).alias("volume")
     )
 
 
@@ -77,7 +77,7 @@ def resample(candles: DataFrame, size: int, *, key: str | list[str], ts: str = "
     """Coarser candles; the last, still open one is included."""
     b = bucket(F.col(ts).cast("long"), size).alias("_b")
     out = candles.groupBy(*_keys(key), b).agg(
-        F.min_by("open", _at("open", ts, *(order or []))).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", _at("close", ts, *(order or []))).alias("close"), F.sum("volume").alias("volume")
+        F.min_by("open", _at("open", ts, ts, *(order or []))).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", _at("close", ts, ts, *(order or []))).alias("close"), F.sum("volume").alias("volume")
     )
     return out.withColumnRenamed("_b", "ts")
 
